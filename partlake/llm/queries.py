@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partlake.llm import license as licenses
-from partlake.llm import simhash, spm, tokens
+from partlake.llm import jpeg, simhash, spm, substr, tokens
 from partlake.session import read_table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -39,12 +39,23 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substr.drop_repeated_spans(docs, counts=True).select("doc_id", "n_sentences", "n_removed", "text")
+
+
+def media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.read_media(jpeg.store_texts(read_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_counts": token_counts,
         "op3_license_scan": license_scan,
         "op4_sentencepiece": sentencepiece,
         "op5_simhash": near_duplicates,
+        "op6_substring_dedup": substring_dedup,
+        "op7_media_columns": media_columns,
     }
 
 
