@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partlake.llm import license as licenses
-from partlake.llm import jpeg, langid, mix, simhash, spm, substr, tokens, toxicity
+from partlake.llm import ann, jpeg, langid, mix, simhash, spm, substr, tokens, toxicity
 from partlake.llm.common import fold
 from partlake.session import read_table
 
@@ -66,9 +66,8 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
     """A model learnt from the labelled documents that are not held out."""
-    labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic").where(F.col("toxic").isNotNull())
-    labelled = docs.select("doc_id", "text").where(fold(F.col("doc_id")) % 3 != 1).join(labels, "doc_id")
-    return toxicity.train(toxicity.sample(labelled, id_column="doc_id", text_column="text", label_column="toxic"))
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic").where(fold(F.col("doc_id")) % 3 != 1)
+    return toxicity.train(toxicity.sample(docs.select("doc_id", "text"), labels))
 
 
 def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +76,10 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_texts(docs, toxicity_model(spark, docs, sf_dir), keep=keep)
 
 
+def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_source_mix": source_mix,
@@ -88,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_media_columns": media_columns,
         "op8_language_id": language_id,
         "op9_toxicity": toxicity_scores,
+        "op10_nearest_neighbours": nearest_neighbours,
     }
 
 

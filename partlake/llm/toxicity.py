@@ -210,9 +210,13 @@ def train(rows: list[tuple[str, int]]) -> Model:
     return model
 
 
-def sample(labelled: DataFrame, *, id_column: str, text_column: str, label_column: str, texts: dict[int, int] | None = None) -> list[tuple[str, int]]:
-    """About so many whole texts of either label, chosen by a hash of the id: a documented bound, not all rows."""
-    usable = labelled.where(F.col(label_column).isin(0, 1) & (F.length(text_column) > 0) & (F.length(text_column) <= SAMPLE_CHARS))
+def sample(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic",
+           texts: dict[int, int] | None = None) -> list[tuple[str, int]]:
+    """About so many whole texts of either label, chosen by a hash of the id: a documented bound, not all rows.
+
+    The ids are drawn from ``labels`` alone, so that only their texts move.
+    """
+    usable = labels.where(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull())
     counts = {int(r[0]): r[1] for r in usable.groupBy(label_column).count().collect()}
     if not counts:
         return []
@@ -220,7 +224,10 @@ def sample(labelled: DataFrame, *, id_column: str, text_column: str, label_colum
     for y, n in counts.items():
         rate = F.when(F.col(label_column) == y, F.lit(min(1.0, (texts or SAMPLE_TEXTS)[y] / n))).otherwise(rate)
     draw = F.pmod(F.xxhash64(F.col(id_column).cast("string"), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return sorted((r[0], int(r[1])) for r in usable.where(draw < rate).select(text_column, label_column).collect())
+    drawn = usable.where(draw < rate).select(F.col(id_column).alias("__id"), F.col(label_column).alias("__label"))
+    fits = (F.length(text_column) > 0) & (F.length(text_column) <= SAMPLE_CHARS)
+    rows = docs.where(fits).join(F.broadcast(drawn), F.col(id_column) == F.col("__id")).select(text_column, "__label").collect()  # as many as drawn
+    return sorted((r[0], int(r[1])) for r in rows)
 
 
 def score_texts(docs: DataFrame, model: Model, *, keep: dict[str, Column], text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
