@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from partlake.plans import planning
+from partlake.plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+MODULES = [planning]
 
-from partlake.session import read_table
 
-
-def _monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"))
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"monthly_net_consumption": _monthly}
+def queries() -> dict[str, Query]:
+    out: dict[str, Query] = {}
+    for module in MODULES:
+        if both := out.keys() & module.queries.queries.keys():
+            raise ValueError(f"registered twice: {sorted(both)}")
+        out |= module.queries.queries
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"monthly_net_consumption": "SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey"}
+    return {name: sql for module in MODULES for name, sql in module.queries.sql.items()}
