@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from partlake.plans import planning
+from partlake.plans import ledgers, planning, reports
 from partlake.plans.registry import Query
 
-MODULES = [planning]
+MODULES = [planning, ledgers, reports]
 
 
 def queries() -> dict[str, Query]:
