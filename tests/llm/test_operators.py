@@ -1,0 +1,346 @@
+"""Each operator against a brute-force version, a library or an exact round trip."""
+
+import os
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from partlake.llm import ann, jpeg, langid, mix, queries, simhash, spm, substr, tokens, toxicity
+from partlake.llm import license as licenses
+from partlake.session import read_table
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return {r.doc_id: r.text for r in read_table(spark, SF, "documents").collect()}
+
+
+# 1
+
+
+def test_mix_deviates_by_less_than_a_block(spark):
+    rng = random.Random(3)
+    rows = [(k, rng.choice(["a"] * 6 + ["b"] * 3 + ["c", "d", None])) for k in range(4000)]
+    weights, block = {"a": 3, "b": 2, "c": 2}, 8
+    out = mix.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights, other=1, block_rows=block, bucket_rows=300).select("row.doc_id", "stream", "block", "slot", "place").collect()
+    assert sorted(r.doc_id for r in out) == list(range(4000))
+    assert len({(r.slot, r.place) for r in out}) == 4000
+    by_slot = {r.slot: r.stream for r in out}
+    assert sorted(by_slot) == list(range(len(by_slot)))
+    left, all_weights = Counter(by_slot.values()), [3, 2, 2, 1]
+    seen = Counter()
+    for slot in range(len(by_slot)):  # while no source has ended, each is within a block of its share
+        seen[by_slot[slot]] += 1
+        if any(left[s] - seen[s] < all_weights[s] for s in left):
+            break
+        for s, w in enumerate(all_weights):
+            assert abs(seen[s] - w / 8 * (slot + 1)) < 1
+    assert slot > 100
+
+
+def test_mix_oracle(spark):
+    from compare import differences
+
+    assert differences(spark, queries.source_mix, queries.oracle_sql()["op1_source_mix"], SF) == ""
+
+
+# 2
+
+
+def test_token_counts_equal_the_library(spark, texts):
+    path = queries.tokenizer_path(queries.WORD_TOKENIZER)
+    got = {r.doc_id: r.n_tokens for r in queries.token_counts(spark, SF).collect()}
+    library = tokens.load(path)
+    assert got == {k: len(library.encode(t or "", add_special_tokens=False).ids) for k, t in texts.items()}
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_huge_texts_splice_exactly(name, texts):
+    library = tokens.load(queries.tokenizer_path(name))
+    rng = random.Random(1)
+    odd = ["".join(rng.choice("aé 's'llß́\x1c　字<|endoftext|>1,.\n") for _ in range(4000)), "a" * 3000 + " b" * 2000, "字" * 3000, "'s" * 2000]
+    for text in [*odd, *[t for t in texts.values() if t and len(t) > 8000][:5]]:
+        assert tokens.encode_huge(library, text, 700, 64) == library.encode(text, add_special_tokens=False).ids
+
+
+# 3
+
+
+def brute_licenses(text):
+    import re
+
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower)
+    places = [(i, label) for phrase, label in licenses.BASE.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+    starts = [i for i, _ in places]
+    return len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in places}))
+
+
+def test_licenses_against_brute_force(spark, texts):
+    for r in queries.license_scan(spark, SF).collect():
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute_licenses(texts[r.doc_id])
+        assert 0 <= r.score <= 1 and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
+    tricky = "CC BY cc-by! General\nPublic license. ALL rights reserved all rights reserved éCC by"
+    assert licenses.scan(tricky)[:5] == brute_licenses(tricky)
+
+
+def test_license_expressions():
+    assert licenses.tag_labels("MIT") == ["spdx:mit"]
+    assert licenses.tag_labels("MIT OR Apache-2.0 AND BSD-3-Clause") == ["spdx:apache-2.0&bsd-3-clause", "spdx:mit"]
+    assert licenses.tag_labels("(MIT OR X) AND GPL-2.0 WITH Classpath") == ["spdx:gpl-2.0-with-classpath&mit", "spdx:gpl-2.0-with-classpath&x"]
+    assert licenses.tag_labels("(MIT") == licenses.tag_labels("OR MIT") == licenses.tag_labels("") == ["spdx:invalid"]
+    found = licenses.scan("// SPDX-License-Identifier: MIT OR Apache-2.0\ncode")
+    assert "spdx:mit" in found[5] and "spdx:apache-2.0" in found[5]
+
+
+# 4
+
+
+def test_pieces_equal_the_library(spark, texts):
+    import sentencepiece
+
+    path = queries.tokenizer_path(queries.PIECE_MODEL)
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    encoded = queries.sentencepiece(spark, SF).cache()
+    assert {r.doc_id: r.ids for r in encoded.collect()} == {k: library.encode(t or "") for k, t in texts.items()}
+    assert encoded.where("not parity").count() == 0
+    back = {r.doc_id: r.text for r in spm.decode(encoded, path).collect()}
+    assert all(back[k] == (t or "") for k, t in texts.items() if "▁" not in (t or ""))
+
+
+def test_unigram_model_is_rebuilt():
+    score = lambda p: -float(len(p))
+    model = spm.Model.__new__(spm.Model)
+    model.pieces = [("<unk>", 0.0, 2), ("▁a", score("a"), 1), ("b", -1.0, 1), ("ab", -0.5, 1), ("▁", -2.0, 1), ("a", -1.5, 1)]
+    model.kind, model.byte_fallback, model.charsmap, model.dummy_prefix, model.remove_extra, model.escape, model.unknown = spm.UNIGRAM, False, b"", True, True, True, 0
+    tokenizer = spm.build(model, whole=True)
+    assert tokenizer.encode(" a  ab ").tokens == ["▁a", "▁a", "b"]  # -1 - 1 beats ▁ ab with -2 - 0.5
+
+
+# 5
+
+
+def test_fingerprints_and_components(spark, texts):
+    import xxhash
+
+    def brute(text):
+        words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
+        shingles = [b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+        h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    got = {r.doc_id: r for r in queries.near_duplicates(spark, SF).collect()}
+    assert {k: r.fingerprint for k, r in got.items()} == {k: f"{brute(t):016x}" for k, t in texts.items()}
+    assert {k: r.component_id for k, r in got.items()} == brute_components({k: int(r.fingerprint, 16) for k, r in got.items()})
+
+
+def brute_components(fps):
+    ids, parent = sorted(fps), {k: k for k in fps}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if (fps[a] ^ fps[b]).bit_count() <= 4 and root(a) != root(b):
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    return {k: root(k) for k in ids}
+
+
+@pytest.mark.parametrize("crowd", [256, 1])
+def test_links_lose_none(spark, crowd):
+    rng = random.Random(5)
+    fps = {rng.getrandbits(64) for _ in range(40)}
+    for x in list(fps):
+        for _ in range(6):
+            y = x
+            for b in rng.sample(range(64), rng.randint(1, 6)):
+                y ^= 1 << b
+            fps.add(y)
+    own = dict(enumerate(sorted(fps)))
+    signed = {k: simhash.signed(x) for k, x in own.items()}
+    frame = spark.createDataFrame([(x,) for x in signed.values()], "fp long")
+    edges = {(r.a, r.b) for r in simhash.links(frame, crowd=crowd).collect()}
+    by_fp = {x: k for k, x in signed.items()}
+    want = brute_components(own)
+    parent = {k: k for k in own}
+    for _ in range(len(own)):
+        for a, b in edges:
+            low = min(parent[by_fp[a]], parent[by_fp[b]])
+            parent[by_fp[a]] = parent[by_fp[b]] = low
+    assert parent == want
+
+
+# 6
+
+
+def test_repeated_passages_go(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    sentence = lambda n: " ".join(word() for _ in range(n)) + ". "
+    passage = "".join(sentence(rng.randint(6, 14)) for _ in range(6))
+    one_long = " ".join(word() for _ in range(60)) + ". "
+    own = ["".join(sentence(rng.randint(3, 12)) for _ in range(8)) for _ in range(12)]
+    rows = [(k, own[k] + (passage if k in (3, 5, 7) else "") + (one_long if k in (2, 9) else "") + own[k][::-1]) for k in range(11)] + [(11, own[11])]
+    out = {r.doc_id: r for r in substr.drop_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), counts=True).collect()}
+    before = dict(rows)
+    for k in range(12):
+        if k in (5, 7, 9):
+            assert out[k].n_removed >= 2 and len(out[k].text) < len(before[k]) - 150
+            assert out[k].text.startswith(own[k]) or own[k][:-60] in out[k].text
+        else:
+            assert out[k].text == before[k] and out[k].n_removed == 0
+
+
+def test_runs_against_brute_force(spark, texts):
+    """Every run by plain slicing, then each later occurrence's sentences."""
+    seen, gone = {}, Counter()
+    for k in sorted(texts):
+        data = (texts[k] or "").encode()
+        where, lengths = substr.sentences(data)
+        covered = set()
+        for i, n in enumerate(lengths):
+            if n:
+                run = data[where[i][0] : where[i + n - 1][1]].rstrip()
+                if run in seen:
+                    covered.update(range(i, i + n))
+                seen.setdefault(run, (k, i))
+        gone[k] = len(covered)
+    got = {r.doc_id: r.n_removed for r in queries.substring_dedup(spark, SF).collect()}
+    assert got == {k: gone[k] for k in texts}
+
+
+# 7
+
+
+def test_payloads_come_back():
+    for data in (b"", b"a", os.urandom(64), os.urandom(5000), b"\xff" * 640, bytes(range(256)) * 9):
+        payload = jpeg.pad(data)
+        image = jpeg.Image(jpeg.write(payload))
+        assert image.payload() == payload and image.rgb().shape == (image.height, image.width, 3)
+
+
+def test_general_reader_agrees(monkeypatch):
+    media = jpeg.write(jpeg.pad(os.urandom(2000)))
+    fast = jpeg.Image(media)
+    monkeypatch.setattr(jpeg.Image, "read_even", staticmethod(lambda *a: False))
+    slow = jpeg.Image(media)
+    assert all((a == b).all() for a, b in zip(fast.blocks, slow.blocks))
+
+
+def test_inverse_transform():
+    k = np.zeros(64)
+    k[0] = 80
+    assert np.allclose(k @ jpeg.basis(), 10)
+    assert jpeg.zigzag()[:6].tolist() == [0, 1, 8, 16, 9, 2] and sorted(jpeg.zigzag()) == list(range(64))
+    assert np.allclose(jpeg.basis() @ jpeg.basis().T, np.eye(64))
+
+
+# 8
+
+
+def test_language_accuracy(spark):
+    out = queries.language_id(spark, SF).join(read_table(spark, SF, "documents").select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert sum(r.lang == r.lang_pred for r in out) / len(out) > 0.95
+
+
+def test_code_lengths_are_exact():
+    """Probabilities sum to one in every context, and lengths are those of a byte-by-byte walk."""
+    size, order = 8, 2
+    rng = np.random.default_rng(0)
+    counts = [rng.integers(0, 3, (size**k, size)) for k in range(order + 1)]
+    p = langid.distribution(counts, size)
+    assert np.allclose(p.sum(axis=1), 1)
+    model = langid.train([("x", "abracadabra abracadabra"), ("y", "zzyzx zyzzx")])
+    s = langid.symbols_of(b"abra zz", model.symbol).astype(int)
+    padded = [int(model.symbol[32])] * model.order + s.tolist()
+    want = np.zeros(2)
+    for k in range(len(s)):
+        at = 0
+        for x in padded[k : k + model.order + 1]:
+            at = at * langid.SYMBOLS + x
+        want += model.bits[at] * langid.UNIT
+    assert np.allclose(langid.code_lengths(model, "ABRA zz"), want)
+
+
+# 9
+
+
+def test_toxicity_holds_out(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = read_table(spark, sf, "labels").select("doc_id", "toxic")
+    docs = read_table(spark, sf, "documents").select("doc_id", "text", "lang")
+    out = queries.toxicity_scores(spark, sf).join(labels, "doc_id").join(docs, "doc_id").where("held_out").collect()
+    assert sum(r.predicted for r in out if not r.toxic) == 0
+    english = [r for r in out if r.toxic and r.lang == "en"]
+    assert sum(r.predicted for r in english) >= 0.8 * len(english)
+
+
+def test_label_model_finds_the_sure_voter():
+    rng = np.random.default_rng(1)
+    y = rng.random(800) < 0.2
+    sure, weak = y & (rng.random(800) < 0.9), rng.random(800) < 0.5
+    votes = np.column_stack([sure, sure, weak, weak, weak]).astype(float)
+    posterior, rates, correlation = toxicity.label_model(votes[:, [0, 1, 2, 3, 4]])
+    assert rates[1][0] > rates[0][0] and correlation[0, 1] > 0.9
+    assert posterior[sure].min() > 0.5
+
+
+# 10
+
+
+def test_recall(spark):
+    out = queries.nearest_neighbours(spark, SF).collect()
+    rows = read_table(spark, SF, "embeddings").collect()
+    x, ids = np.array([r.embedding for r in rows], float), np.array([r.vec_id for r in rows])
+    hits = total = 0
+    for q in ids[ids % 20 == 0]:
+        scores = x @ x[list(ids).index(q)]
+        best = [i for _, i in sorted((-s, i) for s, i in zip(scores, ids) if i != q)][:20]
+        own = sorted((r.rank, r.vec_id) for r in out if r.query_id == q)
+        assert [k for k, _ in own] == list(range(1, 21))
+        hits += len(set(best) & {i for _, i in own})
+        total += 20
+    assert hits / total >= 0.9
+
+
+def test_anisotropic_loss_is_lowered():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 64))  # so that the parallel weight is over one
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index = ann.fit(x)
+    assert index.eta > 1
+    y = index.padded(x).reshape(len(x), -1, ann.SUB)
+
+    def loss(codes):
+        gap = (y - np.take_along_axis(index.books[None], codes[:, :, None, None].astype(int), 2)[:, :, 0]).reshape(len(x), -1)
+        return (gap**2).sum() + (index.eta - 1) * ((gap * x).sum(axis=1) ** 2).sum()
+
+    assert loss(index.encode(x)) < loss(index.encode(x, rounds=0))
+
+
+# pipeline
+
+
+def test_pipeline_stages(spark, texts):
+    import corpus_pipeline
+
+    docs = read_table(spark, SF, "documents")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.schema["doc_id"].dataType == docs.schema["doc_id"].dataType, name
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+    kept = {r.doc_id: r for r in docs.collect()}
+    final = corpus_pipeline.run(spark, SF)
+    rows = final.collect()
+    assert {r.doc_id for r in rows} == set(kept) and len(rows) < len(texts)
+    assert all(r.n_tokens == len(r.ids) for r in rows)
+    assert all(r.n_chars == len(r.text or "") for r in kept.values())
+    assert docs.select(F.count("doc_id")).first()[0] == len(kept)
