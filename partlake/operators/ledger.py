@@ -1,17 +1,20 @@
 """Order-dependent movement logic: netting, reversals, oldest-first allocation, document chains.
 
-Folds run over one key's events as an array sorted in the plan, or as a pandas group where state moves backwards. A
-group's events are one material at one plant; its allocation is sequential, so that key cannot be salted.
+Folds run over one key's events as an array sorted in the plan, or over sorted partitions that stream by key where state
+moves backwards. A key's events are one material at one plant; its allocation is sequential, so that key cannot be salted.
 """
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["material", "plant"]
+RECEIPT, ISSUE, UNDO, PLANNED = range(4)  # in the order of one day
 
 
 def net(moves: DataFrame) -> DataFrame:
@@ -32,21 +35,49 @@ def clamped_net(moves: DataFrame) -> DataFrame:
     return moves.groupBy(*KEY).agg(events.alias("events")).select(*KEY, fold.alias("standing"))
 
 
+def walk_keys(rows: DataFrame, key: list[str], order: list[str], columns: list[str], walk: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """Apply ``walk`` to each key's rows in order. ``rows`` is shuffled by key and sorted once; keys then stream by in Arrow
+    batches, so that a small key costs no group of its own. Rows are tuples of key, ``columns``; so are the results.
+    """
+    names = [f.split()[0] for f in schema.split(", ")]
+    width = len(key)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        for pdf in batches:
+            out: list[tuple] = []
+            for row in zip(*[pdf[c].tolist() for c in [*key, *columns]]):
+                if held and held[0][:width] != row[:width]:
+                    out += walk(held)
+                    held = []
+                held.append(row)
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        if held and (out := walk(held)):
+            yield pd.DataFrame(out, columns=names)
+
+    tidy = rows.select(*key, *columns).repartition(*key).sortWithinPartitions(*key, *order)
+    return tidy.mapInPandas(run, schema)
+
+
+def kinds_of(rows: DataFrame, columns: list[str]) -> str:
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return ", ".join(f"{c} {kinds[c]}" for c in columns)
+
+
 def standing_events(moves: DataFrame, as_of: str | None = None) -> DataFrame:
     """Each base movement with what later reversals left of it: a reversal takes from the latest still standing.
 
-    A stack walks each key's events; ties on a day go base first, then by document and line.
+    A stack walks each key's events; ties on a day go base first, then by document, line and quantity.
     """
     usable = moves.where(F.col("day").isNotNull())
     if as_of:
         usable = usable.where(F.col("day") <= F.lit(as_of).cast("date"))
-    kinds = {f.name: f.dataType.simpleString() for f in moves.schema.fields}
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["day", "reversal", "doc", "line", "qty"], kind="stable").reset_index(drop=True)
-        left, stack = pdf["qty"].tolist(), []
-        for k, reversal in enumerate(pdf["reversal"].tolist()):
-            if not reversal:
+    def walk(rows: list[tuple]) -> list[tuple]:
+        left, stack = [r[-1] for r in rows], []
+        for k, row in enumerate(rows):
+            if not row[3]:
                 stack.append(k)
                 continue
             take = left[k]
@@ -56,11 +87,11 @@ def standing_events(moves: DataFrame, as_of: str | None = None) -> DataFrame:
                 take -= part
                 if left[stack[-1]] <= 0:
                     stack.pop()
-        pdf["standing"] = left
-        return pdf.loc[~pdf["reversal"], [*KEY, "day", "doc", "line", "qty", "standing"]]
+        return [(*row[:3], *row[4:], x) for row, x in zip(rows, left) if not row[3]]
 
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*KEY, "day", "doc", "line", "qty"]) + ", standing double"
-    return usable.select(*KEY, "day", "reversal", "doc", "line", "qty").groupBy(*KEY).applyInPandas(walk, schema)
+    schema = kinds_of(moves, [*KEY, "day", "doc", "line", "qty"]) + ", standing double"
+    order = ["day", "reversal", "doc", "line", "qty"]
+    return walk_keys(usable, KEY, order, order, walk, schema)
 
 
 def standing_by_month(standing: DataFrame) -> DataFrame:
@@ -97,20 +128,19 @@ def cancel_equal(moves: DataFrame) -> DataFrame:
     Numbering issues and reversals of one quantity pairs the k-th reversal with the k-th issue before it, as long as each
     reversal has an open issue; those without one cancel nothing.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in moves.schema.fields}
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["day", "reversal", "doc", "line"], kind="stable").reset_index(drop=True)
-        open_, gone = [], set()
-        for k, reversal in enumerate(pdf["reversal"].tolist()):
-            if not reversal:
-                open_.append(k)
-            elif open_:
-                gone.add(open_.pop(0))
-        return pdf.loc[[k for k, r in enumerate(pdf["reversal"]) if not r and k not in gone], [*KEY, "day", "qty"]]
+    def walk(rows: list[tuple]) -> list[tuple]:
+        waiting: deque[int] = deque()
+        gone = set()
+        for k, row in enumerate(rows):
+            if not row[4]:
+                waiting.append(k)
+            elif waiting:
+                gone.add(waiting.popleft())
+        return [(*row[:2], row[3], row[2]) for k, row in enumerate(rows) if not row[4] and k not in gone]
 
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*KEY, "day", "qty"])
-    return moves.where(F.col("day").isNotNull()).groupBy(*KEY, "qty").applyInPandas(lambda k, pdf: walk(pdf), schema)
+    order = ["day", "reversal", "doc", "line"]
+    return walk_keys(moves.where(F.col("day").isNotNull()), [*KEY, "qty"], order, order, walk, kinds_of(moves, [*KEY, "day", "qty"]))
 
 
 def oldest_first(receipts: DataFrame, issues: DataFrame) -> DataFrame:
@@ -132,19 +162,16 @@ def allocate(events: DataFrame) -> DataFrame:
     ``events``: key, day, kind, doc, line, qty. Kinds: receipt, issue, undo (of issues), planned. Returns each receipt with
     issued, first and last issue day, and what the earliest planned demand that reaches it takes and when.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
-    rank = {"issue": 0, "undo": 1}
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        receipts = pdf[pdf["kind"] == "receipt"].sort_values(["day", "doc", "line", "qty"], kind="stable").reset_index(drop=True)
-        day, qty = receipts["day"].tolist(), receipts["qty"].tolist()
+    def walk(rows: list[tuple]) -> list[tuple]:
+        receipts = [r for r in rows if r[3] == RECEIPT]
+        day, qty = [r[2] for r in receipts], [r[6] for r in receipts]
         issued, planned = [0.0] * len(qty), [0.0] * len(qty)
         stack: list[list] = []  # [delivery or None, quantity, day]
-        moving = pdf[pdf["kind"].isin(["issue", "undo"])]
-        moving = moving.assign(rank=moving["kind"].map(rank)).sort_values(["day", "rank", "doc", "line", "qty"], kind="stable")
         head = 0
-        for on, kind, need in zip(moving["day"], moving["kind"], moving["qty"]):
-            if kind == "issue":
+        for row in rows:
+            on, kind, need = row[2], row[3], row[6]
+            if kind == ISSUE:
                 while head < len(qty) and issued[head] >= qty[head]:
                     head += 1
                 k = head
@@ -157,8 +184,7 @@ def allocate(events: DataFrame) -> DataFrame:
                     k += 1
                 if need > 0:
                     stack.append([None, need, on])
-                continue
-            while need > 0 and stack:
+            while kind == UNDO and need > 0 and stack:
                 top = stack[-1]
                 back = min(need, top[1])
                 top[1] -= back
@@ -173,9 +199,9 @@ def allocate(events: DataFrame) -> DataFrame:
             if k is not None and left > 0:
                 first[k] = on if first[k] is None else min(first[k], on)
                 last[k] = on if last[k] is None else max(last[k], on)
-        on_plan, k = [None] * len(qty), 0
-        wanted = pdf[pdf["kind"] == "planned"].sort_values(["day", "doc", "line", "qty"], kind="stable")
-        for on, need in zip(wanted["day"], wanted["qty"]):
+        when, k = [None] * len(qty), 0
+        for row in rows:
+            need = row[6] if row[3] == PLANNED else 0
             while need > 0 and k < len(qty):
                 free = qty[k] - issued[k] - planned[k]
                 if free <= 0:
@@ -184,11 +210,13 @@ def allocate(events: DataFrame) -> DataFrame:
                 take = min(need, free)
                 planned[k] += take
                 need -= take
-                on_plan[k] = on_plan[k] or on
-        return receipts[[*KEY, "day", "doc", "line", "qty"]].assign(issued=issued, first_issue=first, last_issue=last, planned=planned, next_planned=on_plan)
+                when[k] = when[k] or row[2]
+        return [(*r[:3], *r[4:7], *x) for r, *x in zip(receipts, issued, first, last, planned, when)]
 
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*KEY, "day", "doc", "line", "qty"]) + ", issued double, first_issue date, last_issue date, planned double, next_planned date"
-    return events.groupBy(*KEY).applyInPandas(walk, schema)
+    ranks = F.when(F.col("kind") == "receipt", RECEIPT).when(F.col("kind") == "issue", ISSUE).when(F.col("kind") == "undo", UNDO).otherwise(PLANNED)
+    schema = kinds_of(events, [*KEY, "day", "doc", "line", "qty"]) + ", issued double, first_issue date, last_issue date, planned double, next_planned date"
+    order = ["day", "rank", "doc", "line", "qty"]
+    return walk_keys(events.withColumn("rank", ranks), KEY, order, order, walk, schema)
 
 
 def procurement_chain(orders: DataFrame, requests: DataFrame, receipts: DataFrame, issues: DataFrame) -> DataFrame:
