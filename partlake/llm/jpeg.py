@@ -26,6 +26,7 @@ from partlake.llm.common import map_batches
 
 BLOCK = 64
 BLOCKS_IN_MCU = 6  # four of luma, one of each chroma
+ACROSS, MOST_DOWN = 64, 4095  # units of 16 pixels in a row, and rows at most
 STRIP_BLOCKS = 4096  # blocks transformed at once
 MARKER = re.compile(b"\xff[^\x00\xff\xd0-\xd7]", re.DOTALL)
 #: Fixed values of the format: markers, and the application segment that holds the payload's length.
@@ -83,13 +84,9 @@ def dc_bits(values: np.ndarray) -> np.ndarray:
     size = sizes()[np.abs(diff)]
     extra = np.where(diff < 0, diff + (1 << size) - 1, diff)
     length = 4 + size
-    word = (size.astype(np.int64) << size) | extra
-    start = np.cumsum(length) - length
-    out = np.zeros(int(length.sum()), np.uint8)
-    for k in range(int(length.max(initial=0))):
-        has = length > k
-        out[start[has] + k] = (word[has] >> (length[has] - 1 - k)) & 1
-    return out
+    word = ((size << size) | extra) << (16 - length)
+    bits = np.unpackbits(word.astype(">u2").view(np.uint8)).reshape(-1, 16)
+    return bits[np.arange(16) < length[:, None]]
 
 
 def write(payload: bytes) -> bytes:
@@ -97,8 +94,8 @@ def write(payload: bytes) -> bytes:
     if not payload or len(payload) % BLOCK:
         raise ValueError("a payload is a positive multiple of 64 bytes")
     mcus = -(-len(payload) // (BLOCK * BLOCKS_IN_MCU))
-    across = math.isqrt(mcus - 1) + 1
-    down = -(-mcus // across)
+    down = -(-mcus // max(ACROSS, -(-mcus // MOST_DOWN)))
+    across = -(-mcus // down)
     data = np.zeros(across * down * BLOCKS_IN_MCU * BLOCK, np.uint8)
     data[: len(payload)] = np.frombuffer(payload, np.uint8)
     size, blocks = across * down, data.reshape(-1, BLOCK)
@@ -329,19 +326,18 @@ class Image:
             lengths = {n for n, _ in dc}
             if len(lengths) != 1 or [dc.get((4, k)) for k in range(len(dc))] != list(range(len(dc))):
                 return False
-            bits = np.unpackbits(np.frombuffer(coded, np.uint8))
-            wide = np.concatenate([bits, np.zeros(32, np.uint8)]).astype(np.int32)
-            n = len(bits) + 1
-            size = wide[:n] << 3 | wide[1 : n + 1] << 2 | wide[2 : n + 2] << 1 | wide[3 : n + 3]
-            step, at, places = (size + 4).tolist(), 0, []
+            b = np.frombuffer(coded + bytes(4), np.uint8).astype(np.int32)
+            window = b[:-2] << 16 | b[1:-1] << 8 | b[2:]  # 24 bits from each byte on
+            windows, most, at, places = window.tolist(), 8 * len(coded), 0, []
             for _ in range(count):
+                if at > most:
+                    raise ValueError("a DC scan ends early")
                 places.append(at)
-                at += step[at]
+                at += 4 + (windows[at >> 3] >> (20 - (at & 7)) & 15)
             places = np.array(places)
-            size = size[places]
-            value = np.zeros(count, np.int64)
-            for k in range(int(size.max(initial=0))):
-                value = np.where(k < size, value << 1 | wide[np.minimum(places + 4 + k, n)], value)
+            inside, held = places & 7, window[places >> 3]
+            size = held >> (20 - inside) & 15
+            value = held >> (20 - inside - size) & ((1 << size) - 1)
             value = np.where((size > 0) & (value < 1 << np.maximum(size - 1, 0)), value - (1 << size) + 1, value)
             view[..., 0] = (np.cumsum(value) << low).reshape(view.shape[:2])
             return True
@@ -404,9 +400,9 @@ class Image:
 def feature(rgb: np.ndarray) -> str:
     """Size, channel means and contrast of a tensor, from sums of its samples."""
     n = rgb.shape[0] * rgb.shape[1]
-    flat = rgb.reshape(-1, 3).astype(np.int64)
-    means = flat.sum(axis=0) / n
-    spread = np.sqrt(np.maximum((flat * flat).sum(axis=0) / n - means**2, 0))
+    counts = np.stack([np.bincount(rgb[..., k].reshape(-1), minlength=256) for k in range(3)])
+    means = counts @ np.arange(256) / n
+    spread = np.sqrt(np.maximum(counts @ np.arange(256) ** 2 / n - means**2, 0))
     return f"{rgb.shape[1]}x{rgb.shape[0]} mean " + " ".join(f"{x:.2f}" for x in means) + " sd " + " ".join(f"{x:.2f}" for x in spread)
 
 
