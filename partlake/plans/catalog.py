@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from partlake.plans import ledgers, planning, reports
+from partlake.plans import ledgers, operations, planning, reports
 from partlake.plans.registry import Query
 
-MODULES = [planning, ledgers, reports]
+MODULES = [planning, ledgers, reports, operations]
 
 
 def queries() -> dict[str, Query]:
