@@ -9,8 +9,9 @@ from partlake.functions import normalise
 from partlake.operators import incremental, relational, status
 from partlake.plans.ledgers import LINES, documents_of
 from partlake.plans.registry import AS_OF, DENSE, Registry, day_of, rounded
-from partlake.session import read_table
+from partlake.session import read_table, shared_folder
 from partlake.sources.paged import duplicate_keys
+from partlake.streaming import streams
 
 queries = Registry()
 c = F.col
@@ -155,3 +156,24 @@ def status_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = read_table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(Window.partitionBy())  # over one row for each status
     return n.select("o_orderstatus", "n", F.round(c("n") * 100.0 / total, 6).alias("share"))
+
+
+# ---- streams: what has landed, read once as a stream
+
+
+@queries.add("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value::DECIMAL(18,4))::DOUBLE, 4) AS total FROM events GROUP BY ALL""")
+def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = read_table(spark, sf_dir, "events").schema
+    events = streams.timed(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)).withColumn("value", c("value").cast("decimal(18,4)"))
+    folder = shared_folder(spark, "tumbling")
+    out = streams.updates_once(streams.tumbling(events, "1 hour", "1 day", ["event_type"], "value"), f"{folder}/out", f"{folder}/state", ["start", "event_type"])
+    return out.select(c("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round(c("total").cast("double"), 4).alias("total"))
+
+
+@queries.add("SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ts) AS k FROM events) WHERE k = 1")
+def stream_once_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = read_table(spark, sf_dir, "events").schema
+    events = streams.timed(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+    folder = shared_folder(spark, "once")
+    streams.append_once(streams.once_within(events, "60 days", ["event_id"]), f"{folder}/out", f"{folder}/state")
+    return spark.read.parquet(f"{folder}/out").select("event_id", "user_id", "event_type")

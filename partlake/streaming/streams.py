@@ -9,15 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from partlake.operators.relational import newest
+
 
 def landing(spark: SparkSession, path: str, schema: str, form: str = "parquet", files: int = 1000) -> DataFrame:
     """Files of a folder as a stream, so many at once."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).format(form).load(path)
+    return timed(spark.readStream.schema(schema).option("maxFilesPerTrigger", files).format(form).load(path))
+
+
+def timed(stream: DataFrame) -> DataFrame:
+    """Event time with a zone (the session's), as watermarks need it."""
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in stream.columns else stream
 
 
-def run_once(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]) -> StreamingQuery:
+def run_once(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
     """Process what has landed since the checkpoint, batch by batch, then end. ``each`` must be idempotent by batch id."""
-    query = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
@@ -29,6 +36,13 @@ def append_once(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery
     return query
 
 
+def updates_once(stream: DataFrame, path: str, checkpoint: str, key: list[str]) -> DataFrame:
+    """The latest state of each key of an updating stream, after all that has landed: one folder for each batch."""
+    run_once(stream, checkpoint, lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{path}/run={n}"), "update")
+    every = stream.sparkSession.read.option("basePath", path).parquet(f"{path}/run=*").drop("run")
+    return newest(every, key, F.desc("batch")).drop("batch")
+
+
 def tumbling(events: DataFrame, width: str, late: str, keys: list[str], value: str, slide: str | None = None) -> DataFrame:
     """Counts and sums by window and keys; events later than ``late`` behind the newest are dropped with their windows."""
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
