@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,42 +141,62 @@ def lag_features(dense: DataFrame) -> DataFrame:
     )
 
 
-# ---- smoothing: folds over an array of months
+# ---- smoothing: recurrences over months, for a batch of series at once. A fold in SQL would run interpreted, once for each
+# alpha of the grid; here a step is one array operation over all series and alphas.
 
 
-def _ses_state(q: Column, alpha: Column) -> Column:
-    """(level, error): the last level and the sum of one-step absolute errors in the sample."""
-    start = F.struct(q[0].alias("level"), F.lit(0.0).alias("error"))
-    step = lambda s, x: F.struct((alpha * x + (1 - alpha) * s["level"]).alias("level"), (s["error"] + F.abs(x - s["level"])).alias("error"))
-    return F.aggregate(F.slice(q, 2, F.greatest(F.size(q) - 1, F.lit(0))), start, step)
+def _matrix(series: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """(series, months) filled up with zeros, and the lengths."""
+    lengths = np.array([len(x) for x in series], dtype=np.int64)
+    out = np.zeros((len(series), max(1, int(lengths.max(initial=0)))))
+    out[np.arange(out.shape[1]) < lengths[:, None]] = np.concatenate([*series, np.zeros(0)])
+    return out, lengths
 
 
-def _best(grid: list[float], state, error) -> Column:
-    """(error, alpha, state) of the grid's least error, the smaller alpha of equals. Each state is folded once."""
-    states = F.transform(F.array(*map(F.lit, grid)), lambda a: F.struct(a.alias("alpha"), state(a).alias("state")))
-    return F.array_min(F.transform(states, lambda t: F.struct(F.coalesce(F.round(error(t), 9), F.lit(float("inf"))).alias("error"), t["alpha"].alias("alpha"), t["state"].alias("state"))))
+def _pick(errors: np.ndarray) -> np.ndarray:
+    """The column of each row's least error to nine places, the first of equals; the first if none is known."""
+    return np.where(np.isnan(errors), np.inf, np.round(errors, 9)).argmin(axis=1)
 
 
-def ses(keyed: DataFrame) -> DataFrame:
-    """Simple exponential smoothing with the grid's best alpha; fewer than two months have no rate."""
-    q = F.col("q")
-    best = _best(SES_GRID, lambda a: _ses_state(q, a), lambda t: t["state"]["error"])
-    out = keyed.where(F.size("q") >= 2).withColumn("_b", best)
-    return out.withColumn("alpha", F.col("_b.alpha")).withColumn("rate", F.greatest(F.col("_b.state.level"), F.lit(0.0))).drop("_b")
+def ses_batch(q: np.ndarray, lengths: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(alpha, level) of each series: the grid's least sum of one-step absolute errors."""
+    level, error = np.repeat(q[:, :1], len(grid), axis=1), np.zeros((len(q), len(grid)))
+    for k in range(1, q.shape[1]):
+        x, live = q[:, k : k + 1], (lengths > k)[:, None]
+        error = np.where(live, error + np.abs(x - level), error)
+        level = np.where(live, grid * x + (1 - grid) * level, level)
+    best, rows = _pick(error), np.arange(len(q))
+    return grid[best], level[rows, best]
 
 
-def sba_state(q: Column, alpha: Column) -> Column:
-    """(size, interval, events) after Croston's smoothing; size and interval of the first event start it."""
-    start = F.struct(F.lit(0.0).alias("size"), F.lit(0.0).alias("interval"), F.lit(0).alias("events"), F.lit(0).alias("gap"))
+def sba_batch(q: np.ndarray, lengths: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(alpha, events, size, interval) of each series: the grid's rate nearest to the mean."""
+    shape = (len(q), len(grid))
+    size, interval, events, gap = np.zeros(shape), np.zeros(shape), np.zeros(len(q), np.int32), np.zeros(len(q))
+    for k in range(q.shape[1]):
+        x = q[:, k]
+        live = lengths > k
+        gap = np.where(live, gap + 1, gap)
+        hit, first = (live & (x > 0))[:, None], (events == 0)[:, None]
+        size = np.where(hit, np.where(first, x[:, None], grid * x[:, None] + (1 - grid) * size), size)
+        interval = np.where(hit, np.where(first, gap[:, None], grid * gap[:, None] + (1 - grid) * interval), interval)
+        events = events + hit[:, 0]
+        gap = np.where(hit[:, 0], 0, gap)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        error = np.abs((1 - grid / 2) * size / interval - (q.sum(axis=1) / lengths)[:, None])
+    best, rows = _pick(np.where(events[:, None] >= 2, error, np.nan)), np.arange(len(q))
+    return grid[best], events, size[rows, best], interval[rows, best]
 
-    def step(s: Column, x: Column) -> Column:
-        gap, first = s["gap"] + 1, s["events"] == 0
-        size = F.when(first, x).otherwise(alpha * x + (1 - alpha) * s["size"])
-        interval = F.when(first, gap.cast("double")).otherwise(alpha * gap + (1 - alpha) * s["interval"])
-        hit = F.struct(size.alias("size"), interval.alias("interval"), (s["events"] + 1).alias("events"), F.lit(0).alias("gap"))
-        return F.when(x > 0, hit).otherwise(F.struct(s["size"].alias("size"), s["interval"].alias("interval"), s["events"].alias("events"), gap.alias("gap")))
 
-    return F.aggregate(q, start, step)
+def ses(keyed: DataFrame) -> DataFrame:
+    """Simple exponential smoothing with the grid's best alpha; fewer than two months have no rate."""
+
+    @F.pandas_udf("alpha double, level double")
+    def fit(series: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(("alpha", "level"), ses_batch(*_matrix(series), np.array(SES_GRID)))))
+
+    out = keyed.where(F.size("q") >= 2).withColumn("_f", fit("q"))
+    return out.withColumn("alpha", F.col("_f.alpha")).withColumn("rate", F.greatest(F.col("_f.level"), F.lit(0.0))).drop("_f")
 
 
 def mean_of(q: Column) -> Column:
@@ -183,15 +205,17 @@ def mean_of(q: Column) -> Column:
 
 def sba(keyed: DataFrame) -> DataFrame:
     """Syntetos-Boylan approximation; fewer than two demand events have no rate but a status."""
-    q = F.col("q")
-    rate = lambda t: F.when(t["state"]["events"] >= 2, (1 - t["alpha"] / 2) * t["state"]["size"] / t["state"]["interval"])
-    out = keyed.withColumn("_mean", mean_of(q)).withColumn("_b", _best(SBA_GRID, lambda a: sba_state(q, a), lambda t: F.abs(rate(t) - F.col("_mean"))))
-    events = F.col("_b.state.events")
+
+    @F.pandas_udf("alpha double, events int, size double, interval double")
+    def fit(series: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(("alpha", "events", "size", "interval"), sba_batch(*_matrix(series), np.array(SBA_GRID)))))
+
+    events = F.col("_f.events")
+    out = keyed.withColumn("_f", fit("q"))
     status = F.when(events == 0, "NO_NON_ZERO_DEMAND").when(events < 2, "INSUFFICIENT_NON_ZERO_OBSERVATIONS").otherwise("SUCCESS")
-    fine = events >= 2
-    out = out.withColumn("alpha", F.col("_b.alpha")).withColumn("status", status).withColumn("events", events)
-    out = out.withColumn("z_final", F.when(fine, F.col("_b.state.size"))).withColumn("p_final", F.when(fine, F.col("_b.state.interval")))
-    return out.withColumn("rate", (1 - F.col("alpha") / 2) * F.col("z_final") / F.col("p_final")).drop("_b", "_mean")
+    out = out.withColumn("alpha", F.col("_f.alpha")).withColumn("status", status).withColumn("events", events)
+    out = out.withColumn("z_final", F.when(events >= 2, F.col("_f.size"))).withColumn("p_final", F.when(events >= 2, F.col("_f.interval")))
+    return out.withColumn("rate", (1 - F.col("alpha") / 2) * F.col("z_final") / F.col("p_final")).drop("_f")
 
 
 def tsb(keyed: DataFrame, alpha: float = TSB_ALPHA, beta: float = TSB_BETA) -> DataFrame:
