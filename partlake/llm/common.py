@@ -8,17 +8,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that a Python function gets at once; Spark also ends a batch at 64 MB.
+#: Rows and, about, bytes that a Python function gets at once; Spark itself ends a batch at 64 MB.
 ROWS_AT_ONCE = 2048
+BYTES_AT_ONCE = 4 << 20
 
 
 def map_batches(df: DataFrame, make: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """Apply ``make`` to slices of at most ROWS_AT_ONCE rows; it returns a column for each field of ``schema``."""
+    """Apply ``make`` to slices of a batch; it returns a column for each field of ``schema``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
-                piece = batch.slice(start, ROWS_AT_ONCE)
+            step = max(1, min(ROWS_AT_ONCE, batch.num_rows * BYTES_AT_ONCE // max(1, batch.nbytes)))
+            for start in range(0, batch.num_rows, step):
+                piece = batch.slice(start, step)
                 if piece.num_rows:
                     out = make(piece)
                     arrays = [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in out.values()]

@@ -25,7 +25,7 @@ from partlake.llm.common import map_batches, texts_of
 
 MARK = "▁"
 UNIT = re.compile(f"{MARK}+[^{MARK}]*")
-UNITS_KEPT = 800_000
+UNITS_KEPT = 250_000
 LONG_UNIT = 4_096
 THREADS = 2
 #: Fixed values of the model format: kinds of pieces and of models.
@@ -170,10 +170,6 @@ class Codec:
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool], list[bool]]:
         """Each text's ids as little-endian int32, whether the libraries agree, whether decoding gives it back."""
         split = [self.units(t) for t in texts]
-        if len(self.known) > UNITS_KEPT:
-            self.known.clear()
-            self.apart.clear()
-            self.lossy.clear()
         known, apart, lossy = self.known, self.apart, self.lossy
         new = list({u for units in split for u in units if u not in known})
         if new:
@@ -187,6 +183,11 @@ class Codec:
                 del known[u]
                 apart.discard(u)
                 lossy.discard(u)
+        if len(known) > UNITS_KEPT:  # those of this batch stay, the frequent ones among them
+            stay = {u for units in split for u in units if u in known}
+            self.known = {u: known[u] for u in stay}
+            self.apart &= stay
+            self.lossy &= stay
         return ids, same, back
 
     def units(self, text: str) -> list[str]:

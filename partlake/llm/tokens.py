@@ -27,7 +27,7 @@ OVERLAP_CHARS = 512
 EDGE_CHARS = 48
 AGREE_TOKENS = 4
 #: Distinct words that a worker remembers.
-WORDS_KEPT = 1_200_000
+WORDS_KEPT = 500_000
 LONG_WORD = 2_048
 
 #: White space by Unicode; str.split() would also split at U+001C to U+001F.
@@ -118,8 +118,6 @@ class Counter:
     def count(self, texts: list[str]) -> list[int]:
         plain = [not self.by_word or len(t) > self.huge for t in texts]
         split = [[] if huge else (t.split() if not ODD_SPACE.search(t) else WORD.findall(t)) for t, huge in zip(texts, plain)]
-        if len(self.known) > WORDS_KEPT:
-            self.known.clear()
         known = self.known
         new = list({w for words in split for w in words if w not in known})
         lengths = self.tokenizer.encode_batch_fast([w for w in new if len(w) <= LONG_WORD], add_special_tokens=False)
@@ -132,6 +130,8 @@ class Counter:
         for w in new:
             if len(w) > LONG_WORD:
                 del known[w]
+        if len(known) > WORDS_KEPT:  # those of this batch stay, the frequent ones among them
+            self.known = {w: known[w] for words in split for w in words if w in known}
         return out
 
     def whole(self, text: str) -> list[int]:
