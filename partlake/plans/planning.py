@@ -85,9 +85,9 @@ SES_SQL = """list_reduce(list_transform({q}, lambda v: {{'l': v, 'e': 0.0::DOUBL
 @queries.add(f"""WITH {SERIES}, grid AS (SELECT round(0.05 * k, 2)::DOUBLE AS a FROM range(1, 20) t(k)),
   runs AS (SELECT material, plant, a, {SES_SQL.format(q='q')} AS s FROM keyed, grid),
   best AS (SELECT material, plant, min({{'error': round(s.e, 9), 'alpha': a, 'rate': greatest(s.l, 0)}}) AS b FROM runs GROUP BY ALL)
-  SELECT material, plant, b.alpha AS alpha, round(b.rate, 6) AS rate FROM best""")
+  SELECT material, plant, round(b.alpha + 1e-9, 6) AS alpha, round(b.rate + 1e-9, 6) AS rate FROM best""")
 def forecast_ses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(demand.ses(keyed(spark, sf_dir)).select(*KEY, "alpha", "rate"))
+    return rounded(demand.ses(keyed(spark, sf_dir)).select(*KEY, "alpha", "rate"), nudge=1e-9)
 
 
 EVENTS = SERIES + """, hits AS (SELECT material, plant, quantity AS size, (date_part('year', month) * 12 + date_part('month', month)) AS spot,
@@ -99,11 +99,11 @@ EVENTS = SERIES + """, hits AS (SELECT material, plant, quantity AS size, (date_
 @queries.add(f"""WITH {EVENTS}, grid AS (SELECT unnest([0.05, 0.10, 0.15, 0.20]::DOUBLE[]) AS a),
   runs AS (SELECT material, plant, a, list_reduce(sizes, lambda s, x: a * x + (1 - a) * s) AS z, list_reduce(gaps, lambda s, x: a * x + (1 - a) * s) AS p FROM lists, grid WHERE len(sizes) >= 2),
   best AS (SELECT material, plant, min({{'error': round(abs((1 - a / 2) * z / p - list_sum(q) / len(q)), 9), 'alpha': a, 'z': z, 'p': p}}) AS b FROM runs JOIN keyed USING (material, plant) GROUP BY ALL)
-  SELECT k.material, k.plant, coalesce(b.alpha, 0.05::DOUBLE) AS alpha, CASE WHEN sizes IS NULL THEN 'NO_NON_ZERO_DEMAND' WHEN len(sizes) < 2 THEN 'INSUFFICIENT_NON_ZERO_OBSERVATIONS' ELSE 'SUCCESS' END AS status,
-  coalesce(len(sizes), 0)::INTEGER AS events, round(b.z, 6) AS z_final, round(b.p, 6) AS p_final, round((1 - b.alpha / 2) * b.z / b.p, 6) AS rate
+  SELECT k.material, k.plant, round(coalesce(b.alpha, 0.05::DOUBLE) + 1e-9, 6) AS alpha, CASE WHEN sizes IS NULL THEN 'NO_NON_ZERO_DEMAND' WHEN len(sizes) < 2 THEN 'INSUFFICIENT_NON_ZERO_OBSERVATIONS' ELSE 'SUCCESS' END AS status,
+  coalesce(len(sizes), 0)::INTEGER AS events, round(b.z + 1e-9, 6) AS z_final, round(b.p + 1e-9, 6) AS p_final, round((1 - b.alpha / 2) * b.z / b.p + 1e-9, 6) AS rate
   FROM keyed k LEFT JOIN lists USING (material, plant) LEFT JOIN best USING (material, plant)""")
 def forecast_sba(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(demand.sba(keyed(spark, sf_dir)).select(*KEY, "alpha", "status", "events", "z_final", "p_final", "rate"))
+    return rounded(demand.sba(keyed(spark, sf_dir)).select(*KEY, "alpha", "status", "events", "z_final", "p_final", "rate"), nudge=1e-9)
 
 
 @queries.add(f"""WITH {SERIES}, start AS (SELECT material, plant, q, list_filter(q, lambda x: x > 0) AS hits FROM keyed),
@@ -135,9 +135,9 @@ def metrics(paths: DataFrame) -> DataFrame:
     return demand.backtest_metrics(paths, QUANTILE, PRICE, HOLDING)
 
 
-@queries.add(f"WITH {METRICS} SELECT material, plant, model, origins, round(pinball, 3) AS pinball, round(mean_error, 3) AS mean_error, round(mae, 3) AS mae, round(bias, 3) AS bias, round(fill_rate, 3) AS fill_rate, round(holding_cost, 3) AS holding_cost FROM metrics")
+@queries.add(f"WITH {METRICS} SELECT material, plant, model, origins, round(pinball + 1e-7, 3) AS pinball, round(mean_error + 1e-7, 3) AS mean_error, round(mae + 1e-7, 3) AS mae, round(bias + 1e-7, 3) AS bias, round(fill_rate + 1e-7, 3) AS fill_rate, round(holding_cost + 1e-7, 3) AS holding_cost FROM metrics")
 def backtest_ses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(metrics(ses_paths(spark, sf_dir)), 3)
+    return rounded(metrics(ses_paths(spark, sf_dir)), 3, 1e-7)
 
 
 @queries.add()

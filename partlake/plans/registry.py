@@ -67,9 +67,9 @@ def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """Doubles rounded, so that summation order does not show."""
-    return df.select(*[F.round(f.name, places).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name) for f in df.schema.fields])
+def rounded(df: DataFrame, places: int = 6, nudge: float = 0.0) -> DataFrame:
+    """Doubles rounded, so that summation order does not show; ``nudge`` takes values that end in a 5 off the edge."""
+    return df.select(*[F.round(F.col(f.name) + nudge, places).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name) for f in df.schema.fields])
 
 
 def day_of(text: str) -> Column:
