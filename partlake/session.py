@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,8 +35,24 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once for a context: Python workers import it by name."""
+    context = spark.sparkContext
+    if getattr(context, "_partlake_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    if here.parent.is_dir():  # not already imported from an archive
+        archive = Path(tempfile.mkdtemp()) / "partlake.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for path in sorted(here.rglob("*.py")):
+                out.write(path, path.relative_to(here.parent))
+        context.addPyFile(str(archive))
+    context._partlake_shipped = True
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder; a file or a folder, in any store Spark can read."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
