@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from partlake.session import ship
+
 CENTRES = 16
 SUB = 2  # components of a subspace
 SAMPLE_VECTORS = 8_000
@@ -164,6 +166,7 @@ def search(vectors: DataFrame, *, id_column: str = "vec_id", vector_column: str
     component take no part; vectors have one length, that of most usable rows, and others take no part either.
     With fewer candidates all are returned; an empty table gives an empty result.
     """
+    ship(vectors.sparkSession)
     usable = _usable(vectors, id_column, vector_column)
     lengths = usable.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     schema = "query_id long, rank int, vec_id long, score double"

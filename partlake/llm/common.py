@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from partlake.session import ship
+
 #: Rows and, about, bytes that a Python function gets at once; Spark itself ends a batch at 64 MB.
 ROWS_AT_ONCE = 2048
 BYTES_AT_ONCE = 4 << 20
@@ -16,6 +18,8 @@ BYTES_AT_ONCE = 4 << 20
 def map_batches(df: DataFrame, make: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """Apply ``make`` to slices of a batch; it returns a column for each field of ``schema``."""
 
+    ship(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             step = max(1, min(ROWS_AT_ONCE, batch.num_rows * BYTES_AT_ONCE // max(1, batch.nbytes)))

@@ -209,8 +209,9 @@ def drop_repeated_spans(docs: DataFrame, *, id_column: str = "doc_id", text_colu
     keyed = docs.select(key.alias("id"), checksum(text).alias("t"), text.alias("text"))
     cuts = repeated_runs(keyed).select(F.col("id").alias("__id"), F.col("t").alias("__t"), "places")
     names = [c for c in docs.columns if not (counts and c.lower() in ("n_sentences", "n_removed"))]
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), key.alias("id"), checksum(text).alias("t"))
-    joined = packed.join(cuts, F.col("id").eqNullSafe(F.col("__id")) & (F.col("t") == F.col("__t")), "left").select("row", F.col(f"row.`{text_column}`").alias("text"), "places")
+    others = [F.col(f"`{c}`") for c in names if c != text_column]  # the text passes through Python once
+    packed = docs.select(F.struct(*(others or [F.lit(None).cast("string").alias("none")])).alias("row"), text.alias("text"), key.alias("id"), checksum(text).alias("t"))
+    joined = packed.join(cuts, F.col("id").eqNullSafe(F.col("__id")) & (F.col("t") == F.col("__t")), "left").select("row", "text", "places")
     kind = packed.schema["row"].dataType.simpleString()
 
     def make(batch: pa.RecordBatch) -> dict:

@@ -24,8 +24,10 @@ from partlake.llm.common import map_batches
 SAMPLE_TEXTS = {1: 600, 0: 1200}
 SAMPLE_CHARS = 8_192
 GRAMS = range(4, 9)
+LONGEST = 26  # a whole word with its edges up to this length is an entry too
 LEXICON = 80
 LEAST_TEXTS = 3  # toxic texts that hold an entry
+LEAST_HITS = (1, 2, 4)  # from how many hits on an entry may vote
 LEAST_PRECISION = 0.95  # of an entry in the sample
 ROUNDS = 40
 CORRELATED = 0.25
@@ -54,7 +56,7 @@ def patterns(text: str) -> list[float]:
 class Model:
     """Lexicon and the linear classifier; the label model's estimates are kept for inspection."""
 
-    lexicon: list[str] = field(default_factory=list)
+    lexicon: list[tuple[str, int]] = field(default_factory=list)  # entry, hits from which it votes
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bias: float = -4.0
     rates: np.ndarray | None = None
@@ -66,8 +68,11 @@ class Model:
             import ahocorasick
 
             self._found = ahocorasick.Automaton()
-            for k, entry in enumerate(self.lexicon):
-                self._found.add_word(entry, k)
+            places: dict[str, list[int]] = {}
+            for k, (entry, _) in enumerate(self.lexicon):
+                places.setdefault(entry, []).append(k)
+            for entry, ks in places.items():
+                self._found.add_word(entry, ks)
             self._found.make_automaton()
         return self._found
 
@@ -78,8 +83,12 @@ class Model:
         """Hits of each lexicon entry, then the pattern voters."""
         out = np.zeros(len(self.lexicon) + PATTERNS)
         if text and self.lexicon:
-            for _, k in self.automaton().iter(folded(text)):
-                out[k] += 1
+            for _, ks in self.automaton().iter(folded(text)):
+                for k in ks:
+                    out[k] += 1
+            for k, (_, least) in enumerate(self.lexicon):
+                if out[k] < least:
+                    out[k] = 0
         out[len(self.lexicon) :] = patterns(text or "")
         return out
 
@@ -97,45 +106,62 @@ def features(hits: np.ndarray, lexicon: int) -> np.ndarray:
     return np.concatenate([np.minimum(hits, 1), np.minimum(own, 1).sum(axis=-1, keepdims=True), np.log1p(own.sum(axis=-1, keepdims=True))], axis=-1)
 
 
-def entries(rows: list[tuple[str, int]]) -> list[str]:
-    """Lexicon: stretches of words that mark toxic texts, the best first; of equal ones the longest."""
+def entries(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """Lexicon: stretches of words, with the least number of hits, that mark toxic texts; the best first, of equal ones the longest."""
     toxic = sum(y for _, y in rows)
-    in_toxic: Counter[str] = Counter()
-    per_word: dict[str, tuple[str, ...]] = {}
-
-    def grams(text: str) -> set[str]:
-        out: set[str] = set()
-        for w in set(folded(text).split()):
-            if w not in per_word:
-                per_word[w] = tuple({f" {w} "[i : i + n] for n in GRAMS for i in range(len(w) + 3 - n)} | ({f" {w} "} if 1 < len(w) < 24 else set()))
-            out.update(per_word[w])
+
+    def grams(text: str, only: dict | None = None) -> Counter:
+        """Hits of each stretch in a text, or of those that ``only`` holds."""
+        out: Counter[str] = Counter()
+        for w, n in Counter(folded(text).split()).items():
+            edged = f" {w} "
+            if GRAMS[-1] < len(edged) <= LONGEST and (only is None or edged in only):
+                out[edged] += n
+            for size in GRAMS:
+                for i in range(len(edged) - size + 1):
+                    g = edged[i : i + size]
+                    if only is None or g in only:
+                        out[g] += n
         return out
 
+    # texts by hashed stretch first: what too few toxic texts hold never becomes an entry of the table
+    slots = np.zeros(1 << 22, np.uint16)
+    for text, y in rows:
+        if y:
+            slots[np.unique(np.array([hash(g) & 0x3FFFFF for g in grams(text)], np.int64))] += 1
+    in_toxic: dict[str, list[int]] = {}
     for text, y in rows:
         if y:
-            in_toxic.update(grams(text))
-    wanted = {g for g, n in in_toxic.items() if n >= LEAST_TEXTS}
-    in_clean: Counter[str] = Counter()
+            for g, n in grams(text).items():
+                if slots[hash(g) & 0x3FFFFF] >= LEAST_TEXTS:
+                    counts = in_toxic.setdefault(g, [0] * len(LEAST_HITS))
+                    for k, least in enumerate(LEAST_HITS):
+                        counts[k] += n >= least
+    in_toxic = {g: c for g, c in in_toxic.items() if c[0] >= LEAST_TEXTS}
+    in_clean = {g: [0] * len(LEAST_HITS) for g in in_toxic}
     for text, y in rows:
         if not y:
-            in_clean.update(grams(text) & wanted)
-    ranked = []
-    share, surprise = toxic / len(rows), np.log(max(1, len(wanted))) + 1  # more than the best of so many by chance
-    for g in wanted:
-        c, n = in_toxic[g], in_clean[g]
-        precision = c / (c + n + 1)
-        gain = c * np.log(c / (c + n) / share) + (n * np.log(n / (c + n) / (1 - share)) if n else 0)
-        if c / (c + n) >= LEAST_PRECISION and gain >= surprise:
-            ranked.append((-(c / max(1, toxic)) * precision**12, -len(g), g))
-    chosen: list[str] = []
-    for _, _, g in sorted(ranked):
+            for g, n in grams(text, in_toxic).items():
+                for k, least in enumerate(LEAST_HITS):
+                    in_clean[g][k] += n >= least
+    ranked, share, surprise = [], toxic / len(rows), np.log(max(1, len(in_toxic))) + 1  # more than the best of so many by chance
+    for g, held in in_toxic.items():
+        for k, least in enumerate(LEAST_HITS):
+            c, n = held[k], in_clean[g][k]
+            if c < LEAST_TEXTS or c / (c + n) < LEAST_PRECISION:
+                continue
+            gain = c * np.log(c / (c + n) / share) + (n * np.log(n / (c + n) / (1 - share)) if n else 0)
+            if gain >= surprise:
+                ranked.append((-(c / max(1, toxic)) * (c / (c + n + 1)) ** 12, least, -len(g), g, c))
+    chosen: list[tuple[str, int, int]] = []
+    for _, least, _, g, c in sorted(ranked):
         # an entry inside or around a chosen one with as many texts says nothing of its own
-        if any((g in x or x in g) and abs(in_toxic[x] - in_toxic[g]) <= 0.1 * in_toxic[g] for x in chosen):
+        if any((g in x or x in g) and c <= 1.1 * held for x, _, held in chosen if least > 1 or abs(held - c) <= 0.1 * c):
             continue
-        chosen.append(g)
+        chosen.append((g, least, c))
         if len(chosen) == LEXICON:
             break
-    return chosen
+    return [(g, least) for g, least, _ in chosen]
 
 
 def groups(correlation: np.ndarray) -> np.ndarray:
@@ -230,8 +256,8 @@ def sample(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", tex
     return sorted((r[0], int(r[1])) for r in rows)
 
 
-def score_texts(docs: DataFrame, model: Model, *, keep: dict[str, Column], text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per input row: the ``keep`` columns, score (0 to 1) and predicted (1 from the threshold on).
+def score_texts(docs: DataFrame, model: Model, *, keep: dict[str, Column], text_column: str = "text", threshold: float = THRESHOLD, with_text: bool = False) -> DataFrame:
+    """One row per input row: the ``keep`` columns, score (0 to 1), predicted (1 from the threshold on), and the text if wanted.
 
     Null and empty texts score as texts in which no voter votes. A model that learnt nothing scores 0. Repeated rows each
     get a row; an empty table gives an empty result.
@@ -241,9 +267,11 @@ def score_texts(docs: DataFrame, model: Model, *, keep: dict[str, Column], text_
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most LEXICON entries
 
     def make(batch: pa.RecordBatch) -> dict:
-        scores = [round(shared.value.score(x), 9) for x in batch.column(batch.num_columns - 1).to_pylist()]
+        texts = batch.column(batch.num_columns - 1)
+        scores = [round(shared.value.score(x), 9) for x in texts.to_pylist()]
         own = {n: batch.column(k) for k, n in enumerate(names)}
-        return own | {"score": pa.array(scores, pa.float64()), "predicted": pa.array([int(x >= threshold) for x in scores], pa.int32())}
+        out = own | {"score": pa.array(scores, pa.float64()), "predicted": pa.array([int(x >= threshold) for x in scores], pa.int32())}
+        return out | {"__text": texts} if with_text else out
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return map_batches(kept, make, f"{kinds}, score double, predicted int")
+    return map_batches(kept, make, f"{kinds}, score double, predicted int" + ", __text string" * with_text)
