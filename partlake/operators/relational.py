@@ -1,4 +1,4 @@
-"""Joins, latest rows, paging, set differences, merges: the reference shapes as Spark plans."""
+"""Joins, latest rows, paging, set differences, merges."""
 
 from __future__ import annotations
 
