@@ -129,8 +129,8 @@ def chain(a: Column, b: Column, segments: int, most: int) -> Column:
 def around(fps: DataFrame, radius: int) -> DataFrame:
     """Each fingerprint at each point within ``radius`` bits of it."""
     masks = [signed(sum(1 << x for x in flips)) for n in range(radius + 1) for flips in combinations(range(64), n)]
-    table = fps.sparkSession.createDataFrame([(masks,)], "masks array<bigint>")  # at most 2081 longs for radius 2
-    return fps.crossJoin(F.broadcast(table)).select("fp", F.explode("masks").alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("point"))
+    mask = F.explode(F.array(*map(F.lit, masks)))  # at most 2081 literals for radius 2
+    return fps.select("fp", mask.alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("point"))
 
 
 def links(fps: DataFrame, *, most: int = MAX_BITS, segments: int = SEGMENTS, crowd: int = CROWD) -> DataFrame:
