@@ -25,7 +25,7 @@ from partlake.llm.common import map_batches, texts_of
 
 MARK = "▁"
 UNIT = re.compile(f"{MARK}+[^{MARK}]*")
-UNITS_KEPT = 250_000
+UNITS_KEPT = 120_000
 LONG_UNIT = 4_096
 THREADS = 2
 #: Fixed values of the model format: kinds of pieces and of models.
