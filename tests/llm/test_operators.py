@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from partlake.llm import ann, jpeg, langid, mix, queries, simhash, spm, substr, tokens, toxicity
+from partlake.llm import ann, jpeg, langid, mix, queries, shingles, simhash, spm, substr, tokens, toxicity
 from partlake.llm import license as licenses
 from partlake.session import read_table
 
@@ -344,3 +344,66 @@ def test_pipeline_stages(spark, texts):
     assert all(r.n_tokens == len(r.ids) for r in rows)
     assert all(r.n_chars == len(r.text or "") for r in kept.values())
     assert docs.select(F.count("doc_id")).first()[0] == len(kept)
+
+
+def plain_near_duplicates(rows):
+    """The ids that stay: all pairs by exact five-word Jaccard, the least id of each component."""
+    sets = {}
+    for k, text in rows:
+        words = (text or "").lower().split()
+        sets[k] = frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+    root = {k: k for k in sets}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and (sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {k for k in sets if find(k) == k}
+
+
+def planted_copies(seed):
+    """Texts with near copies about similarity 0.8, chains of them, a large group, and a line that many texts share."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    line, rows = " ".join(word() for _ in range(25)), []
+    for _ in range(12):
+        words = [word() for _ in range(rng.choice([8, 60, 150]))]
+        rows.append(" ".join(words))
+        for _ in range(rng.randint(1, 6)):  # each from the one before: the ends of a chain may be far apart
+            for _ in range(rng.randint(1, max(1, len(words) // 45))):
+                words[rng.randrange(len(words))] = word()
+            rows.append(" ".join(words))
+    rows += [line + " " + " ".join(word() for _ in range(rng.randint(3, 30))) for _ in range(60)]
+    large = [word() for _ in range(100)]
+    rows += [" ".join([*large[: k % 90], word(), *large[k % 90 :]]) for k in range(120)]
+    rows += [rows[0].upper(), None, "", "one two", "one two", "one two three"]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_duplicate_stage_links_similarity_080(spark, seed):
+    import corpus_pipeline
+
+    rows = planted_copies(seed)
+    out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    kept = {r.doc_id for r in out.collect()}
+    assert kept == plain_near_duplicates(rows)
+
+
+def test_pairs_across_components_of_a_band(spark):
+    rows = planted_copies(3)
+    found = shingles.signatures(spark.createDataFrame(rows, "doc_id long, text string"), id_column="doc_id", text_column="text", shingle=5)
+    nodes = {r.node: r for r in found.collect() if r.n}
+    sets = {r.node: set(shingles.shingle_set(rows[r.id][1]).tolist()) for r in nodes.values()}
+    members = [(k, r.n, k, r.sketch) for k, r in nodes.items()]  # one band that all share, nothing linked yet
+    group = spark.createDataFrame([(members,)], "all array<struct<node:bigint,n:bigint,root:bigint,sketch:binary>>")
+    got = {(r.a, r.b) for r in shingles.across(group, 80).collect()}
+    similar = {(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert similar and similar <= got and all(a < b for a, b in got)
