@@ -247,10 +247,13 @@ def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.fuzzy(pairs, "t_name", "d_name").select("t_id", "d_id", "fuzzy")
 
 
+BOOTSTRAP_DRAWS = 20_000
+
+
 @queries.add()
 def bootstrap_issue_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = moves(spark, sf_dir).where("NOT reversal AND material % 20 = 0")
-    return rounded(similarity.bootstrap_interval(rows, "material", "qty", draws=200))
+    """Every material's, at the draws of the blend that the bootstrap is part of. Tested against draws one by one."""
+    return rounded(similarity.bootstrap_interval(moves(spark, sf_dir).where("NOT reversal"), "material", "qty", draws=BOOTSTRAP_DRAWS))
 
 
 # ---- normalisation and formulas

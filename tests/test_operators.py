@@ -3,13 +3,14 @@
 import datetime
 import random
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from partlake.operators import demand, incremental, ledger, relational, similarity, stock
-from partlake.plans import planning
+from partlake.plans import planning, reports
 
 D = datetime.date
 MOVES = "material long, plant int, day date, reversal boolean, doc long, line int, qty double"
@@ -153,6 +154,27 @@ def test_monte_carlo(spark):
     assert a == b and abs(a[0][1] - z * (4 * 4 + 100 * 0.25) ** 0.5) < 2
 
 
+def test_bootstrap_query_covers_every_material(spark):
+    sf = "/root/testdata/sf0.001"
+    values = {}
+    for r in reports.moves(spark, sf).where("NOT reversal").orderBy("material").collect():
+        values.setdefault(r.material, []).append(float(r.qty))
+    got = {r.material: r for r in reports.bootstrap_issue_size(spark, sf).collect()}
+    assert set(got) == set(values) and all(got[m].n == len(v) for m, v in values.items())
+    for m in sorted(values)[:15]:
+        x, rng = np.sort(values[m]), np.random.default_rng(42)
+        own = np.percentile([x[rng.integers(0, len(x), len(x))].mean() for _ in range(20_000)], 85)
+        assert abs(got[m].estimate - own) < 1e-5
+
+
+def test_bootstrap_blocks_change_no_draw(spark):
+    x = np.arange(1.0, 8.0)
+    rng = np.random.default_rng(42)
+    plain = np.percentile([x[rng.integers(0, 7, 7)].mean() for _ in range(50_000)], 85)  # more than a block holds
+    rows = spark.createDataFrame([(1, float(v)) for v in x], "k int, v double").coalesce(1)
+    assert similarity.bootstrap_interval(rows, "k", "v", draws=50_000).first().estimate == plain
+
+
 def test_merge(spark):
     target = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k int, v string")
     batch = spark.createDataFrame([(2, "c"), (3, None), (4, "d"), (None, "x")], "k int, v string")
