@@ -205,7 +205,7 @@ def demand_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def monte_carlo_safety_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeded simulation; tested for determinism and against the closed form."""
     out = inputs(spark, sf_dir).select(*KEY, F.col("mean_all").alias("d_avg"), F.col("std_all").alias("sigma_d"), "lt_months", "sigma_lt_months")
-    return stock.monte_carlo_safety_stock(out, LEVEL, draws=1000)
+    return stock.monte_carlo_safety_stock(out, LEVEL)
 
 
 @queries.add(f"""WITH {MOVES}, u AS (SELECT material, plant, max(day) FILTER (NOT reversal) AS last_issue_date,

@@ -154,6 +154,22 @@ def test_monte_carlo(spark):
     assert a == b and abs(a[0][1] - z * (4 * 4 + 100 * 0.25) ** 0.5) < 2
 
 
+def test_monte_carlo_query_runs_all_draws(spark):
+    import hashlib
+
+    sf = "/root/testdata/sf0.001"
+    got = {(r.material, r.plant): r.safety_stock for r in planning.monte_carlo_safety_stock(spark, sf).collect()}
+    rows = planning.inputs(spark, sf).collect()
+    assert {(r.material, r.plant) for r in rows} == set(got)
+    some = [r for r in rows if None not in (r.mean_all, r.std_all, r.lt_months, r.sigma_lt_months)][:40]
+    assert some
+    for r in some:
+        rng = np.random.default_rng(int.from_bytes(hashlib.sha256(f"{r.material}|{r.plant}|1".encode()).digest()[:8], "big"))
+        lead = np.maximum(rng.normal(r.lt_months, r.sigma_lt_months, 10_000), 0)
+        demand = np.maximum(rng.normal(r.mean_all * lead, r.std_all * np.sqrt(lead)), 0)
+        assert got[r.material, r.plant] == np.ceil(max(np.quantile(demand, planning.LEVEL) - r.mean_all * r.lt_months, 0))
+
+
 def test_bootstrap_query_covers_every_material(spark):
     sf = "/root/testdata/sf0.001"
     values = {}
