@@ -30,7 +30,7 @@ SHORT_SENTENCE = 4
 LONG_SENTENCE = 16
 CUT = 3
 CUT_AT_MOST = 24
-#: A text is read in parts of so many bytes, which end at white space; no run crosses from a part to the next.
+#: Bytes are summed in parts of so many, with sums carried from each to the next; no result depends on it.
 PART_BYTES = 1 << 21
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 STOP = np.isin(np.arange(256), [ord(c) for c in ".!?"])
@@ -65,24 +65,66 @@ def powers(size: int) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
     return tuple(out)
 
 
+class Running:
+    """A running sum over a text's bytes, kept only at given places."""
+
+    def __init__(self, b: np.ndarray, values: np.ndarray, table: tuple[np.ndarray, np.ndarray], factor: int):
+        self.b, self.values, self.factor = b, values, factor
+        self.power, self.inverse = table
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        """The sums of the bytes before each place; places ascend."""
+        out, before, raised = np.empty(len(places), np.uint64), np.uint64(0), 1
+        bounds = np.searchsorted(places, np.arange(0, len(self.b) + PART_BYTES, PART_BYTES))
+        for k, start in enumerate(range(0, len(self.b), PART_BYTES)):
+            piece = self.b[start : start + PART_BYTES]
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.values[piece] * self.power[: len(piece)], dtype=np.uint64)])
+            if start:
+                sums = sums * np.uint64(raised) + before
+            last = start + PART_BYTES >= len(self.b)
+            i, z = bounds[k], len(places) if last else bounds[k + 1]
+            out[i:z] = sums[places[i:z] - start]
+            before, raised = sums[-1], raised * pow(self.factor, PART_BYTES, 1 << 64) % (1 << 64)
+        return out
+
+    def lowered(self, places: np.ndarray) -> np.ndarray:
+        """The inverse of the multiplier's power at each place."""
+        if len(self.b) <= PART_BYTES:
+            return self.inverse[places]
+        far = pow(self.factor, -PART_BYTES, 1 << 64)
+        steps = np.array([pow(far, k, 1 << 64) for k in range(len(self.b) // PART_BYTES + 1)], np.uint64)
+        return steps[places // PART_BYTES] * self.inverse[places % PART_BYTES]
+
+
+def words_of(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where words start, where they end, and where lines do."""
+    edges, lines, before = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], True
+    for start in range(0, len(b), PART_BYTES):
+        piece = b[start : start + PART_BYTES]
+        blank = SPACE[piece]
+        edges.append(np.flatnonzero(np.diff(np.concatenate([[before], blank]).astype(np.int8))) + start)
+        lines.append(np.flatnonzero(piece == 10) + start)
+        before = bool(blank[-1])
+    solid = np.concatenate([*edges, [] if before else [len(b)]]).astype(np.int64)
+    return solid[::2], solid[1::2], np.concatenate(lines)
+
+
 class Part:
-    """The sentences of a stretch of text: byte places, and the runs from each on with their hashes."""
+    """The sentences of a text: byte places, and the runs from each on with their hashes."""
 
     def __init__(self, data: bytes, hashes: bool = True):
         b = np.frombuffer(data, np.uint8)
-        blank = SPACE[b]
-        solid = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
-        starts, ends = solid[::2], solid[1::2]
+        starts, ends, lines = words_of(b)
         n = len(starts)
         self.starts, self.ends = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.lengths, self.h, self.g = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         if not n:
             return
-        table = powers(1 << max(16, int(len(b)).bit_length()))
-        (power, inverse), values = table[0], byte_values()
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[0][b] * power[: len(b)], dtype=np.uint64)])
+        table = powers(1 << max(16, min(len(b), PART_BYTES).bit_length()))
+        one, other = (Running(b, v, t, f) for v, t, f in zip(byte_values(), table, FACTORS))
+        before, upto_end = one.at(starts), one.at(ends)
         last = STOP[b[ends - 1]]
-        last[np.searchsorted(starts, np.flatnonzero(b == 10)) - 1] = True  # an early line end marks the last word, which ends one anyway
+        last[np.searchsorted(starts, lines) - 1] = True  # an early line end marks the last word, which ends one anyway
         last[-1] = True
         stops = np.flatnonzero(last)
         last[stops[np.diff(stops, prepend=-1) < SHORT_SENTENCE]] = False
@@ -91,7 +133,7 @@ class Part:
         first = np.concatenate([[0], stops[:-1] + 1])
         long = np.repeat(stops - first + 1 > LONG_SENTENCE, stops - first + 1)
         if long.any():
-            word = mixed((total[ends] - total[starts]) * inverse[starts])
+            word = mixed((upto_end - before) * one.lowered(starts))
             near = np.lib.stride_tricks.sliding_window_view(np.pad(word, CUT, constant_values=2**64 - 1), 2 * CUT + 1)
             last |= long & (word == near.min(axis=1))
             stops = np.flatnonzero(last)
@@ -108,44 +150,22 @@ class Part:
         self.lengths = upto - k
         if not hashes:
             return
-        a, z = starts[first[k]], ends[stops[upto - 1]]
-        self.h = mixed((total[z] - total[a]) * inverse[a]).view(np.int64)
-        (power, inverse) = table[1]
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[1][b] * power[: len(b)], dtype=np.uint64)])
-        self.g = mixed((total[z] - total[a]) * inverse[a]).view(np.int64)
-
-
-def parts(data: bytes) -> list[tuple[int, bytes]]:
-    """(start, bytes) of a text's parts."""
-    out, at = [], 0
-    while len(data) - at > PART_BYTES:
-        end = max(data.rfind(b"\n", at, at + PART_BYTES), data.rfind(b" ", at, at + PART_BYTES)) + 1
-        end = end or at + PART_BYTES
-        while end < len(data) and 0x80 <= data[end] < 0xC0:  # not inside a character
-            end += 1
-        out.append((at, data[at:end]))
-        at = end
-    return [*out, (at, data[at:])]
+        head, tail = first[k], stops[upto - 1]
+        self.h = mixed((upto_end[tail] - before[head]) * one.lowered(starts[head])).view(np.int64)
+        self.g = mixed((other.at(ends[tail]) - other.at(starts[head])) * other.lowered(starts[head])).view(np.int64)
 
 
 def runs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The number of the first sentence and two hashes of every run of a text."""
-    found, before = [], 0
-    for _, piece in parts(data):
-        p = Part(piece)
-        found.append((np.arange(before, before + len(p.lengths), dtype=np.int64), p.h, p.g))
-        before += len(p.starts)
-    return tuple(np.concatenate(x) for x in zip(*found))
+    p = Part(data)
+    return np.arange(len(p.lengths), dtype=np.int64), p.h, p.g
 
 
 def sentences(data: bytes) -> tuple[list[tuple[int, int]], list[int]]:
     """Byte places of a text's sentences, white space after one belongs to it; and how many each one's run has, 0 if none."""
-    places, lengths = [], []
-    for at, piece in parts(data):
-        p = Part(piece, hashes=False)
-        places += [(at + int(a), at + int(z)) for a, z in zip(p.starts, p.ends)]
-        lengths += [*p.lengths.tolist(), *[0] * (len(p.starts) - len(p.lengths))]
-    return places, lengths
+    p = Part(data, hashes=False)
+    places = list(zip(p.starts.tolist(), p.ends.tolist()))
+    return places, [*p.lengths.tolist(), *[0] * (len(p.starts) - len(p.lengths))]
 
 
 def spans(docs: DataFrame) -> DataFrame:

@@ -217,6 +217,16 @@ def test_runs_against_brute_force(spark, texts):
     assert got == {k: gone[k] for k in texts}
 
 
+def test_parts_change_no_run(spark, texts, monkeypatch):
+    """Sums carried over small parts give the runs and sentences of the whole text, also of passages across an edge."""
+    some = [t.encode() for t in texts.values() if t][:40] + [b"", b" \n", b"a" * 300, b"w " * 400]
+    whole = [(substr.runs(d), substr.sentences(d)) for d in some]
+    for size in (64, 37, 1000):
+        monkeypatch.setattr(substr, "PART_BYTES", size)
+        for d, (found, places) in zip(some, whole):
+            assert all((a == b).all() for a, b in zip(substr.runs(d), found)) and substr.sentences(d) == places
+
+
 # 7
 
 
