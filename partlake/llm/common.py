@@ -17,6 +17,17 @@ ROWS_AT_ONCE = 2048
 BYTES_AT_ONCE = 4 << 20
 
 
+#: What a worker process remembers between batches, by module: how to forget it.
+MEMORIES: dict[str, Callable[[], None]] = {}
+
+
+def forget_others(owner: str) -> None:
+    """Workers live on between stages: drop what modules other than the one at work remember."""
+    for name, forget in MEMORIES.items():
+        if name != owner:
+            forget()
+
+
 def release() -> None:
     """Give memory that Arrow and the C library hold for reuse back to the machine: workers live on between tasks."""
     pa.default_memory_pool().release_unused()
@@ -29,6 +40,7 @@ def map_batches(df: DataFrame, make: Callable[[pa.RecordBatch], dict], schema: s
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(make.__module__)
         for batch in batches:
             step = max(1, min(ROWS_AT_ONCE, batch.num_rows * BYTES_AT_ONCE // max(1, batch.nbytes)))
             for start in range(0, batch.num_rows, step):
