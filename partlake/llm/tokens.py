@@ -12,27 +12,29 @@ last to the rest of the text.
 
 from __future__ import annotations
 
+import json
 import re
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from partlake.llm.common import map_batches, texts_of
+from partlake.llm.common import MEMORIES, map_batches, texts_of
 
-HUGE_CHARS = 65_536  # a longer text is chunked
-CHUNK_CHARS = 32_768
+HUGE_CHARS = 32_768  # a longer text is chunked; the library takes four times a word count's time
+CHUNK_CHARS = 8_192
 OVERLAP_CHARS = 512
 #: A splice keeps this far from the edges of both chunks, and this many following tokens must agree.
 EDGE_CHARS = 48
 AGREE_TOKENS = 4
 #: Distinct words that a worker remembers.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 300_000
 LONG_WORD = 2_048
 
 #: White space by Unicode; str.split() would also split at U+001C to U+001F.
 SPACES = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 WORD = re.compile(f"[^{SPACES}]+")
+ANY_SPACE = re.compile(f"[{SPACES}]")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
@@ -51,29 +53,52 @@ def load(path: str):
 
 
 class Encoded:
-    """Ids, character spans and pre-token starts of a chunk that begins at ``base`` of its text."""
+    """The encoding of a chunk that begins at ``base`` of its text, asked for single tokens' places and pre-tokens."""
 
     def __init__(self, tokenizer, text: str, base: int, end: int):
-        out = tokenizer.encode(text[base:end], add_special_tokens=False)
-        self.base, self.end = base, end
-        self.ids = out.ids
-        self.spans = [(a + base, b + base) for a, b in out.offsets]
-        words = out.word_ids
-        self.starts = {self.spans[i][0]: i for i in range(len(words) - 1, -1, -1) if i == 0 or words[i] != words[i - 1]}
+        self.out = tokenizer.encode(text[base:end], add_special_tokens=False)
+        self.base, self.end, self.ids = base, end, self.out.ids
+
+    def span(self, i: int) -> tuple[int, int]:
+        a, z = self.out.token_to_chars(i)
+        return a + self.base, z + self.base
+
+    def starts(self, i: int) -> bool:
+        """Whether a pre-token starts at token i, and no token before covers its place."""
+        return i > 0 and self.out.token_to_word(i) != self.out.token_to_word(i - 1) and self.span(i - 1)[1] <= self.span(i)[0]
+
+    def at_or_after(self, place: int) -> int:
+        """The first token that begins there or after."""
+        low, high = 0, len(self.ids)
+        while low < high:
+            mid = (low + high) // 2
+            if self.span(mid)[0] < place:
+                low = mid + 1
+            else:
+                high = mid
+        return low
 
 
 def splice_point(left: Encoded, right: Encoded) -> tuple[int, int] | None:
-    """Token positions (in left, in right) of the first proven common boundary, if any."""
-    for at in sorted(right.starts.keys() & left.starts.keys()):
-        i, j = left.starts[at], right.starts[at]
-        if i == 0 or j == 0 or at < right.base + EDGE_CHARS or at > left.end - EDGE_CHARS:
-            continue
-        n = AGREE_TOKENS
-        if left.spans[i - 1][1] > at or right.spans[j - 1][1] > at:  # a token still covers it
+    """Token positions (in left, in right) of the first proven common boundary, if any.
+
+    Proven: both chunks start a pre-token there, each with EDGE_CHARS of the text before and after it, and the next
+    AGREE_TOKENS have the same ids and places. A pre-tokeniser scans from left to right with its place as only state,
+    so from a place where both scans stand they go on alike as long as they see the same text; merges stay inside
+    pre-tokens. What an edge can change (a cut pre-token, a mark composed with what stands before) is within EDGE_CHARS,
+    or shows in the tokens that must agree.
+    """
+    j, n = right.at_or_after(right.base + EDGE_CHARS), AGREE_TOKENS
+    for j in range(j, len(right.ids)):
+        at = right.span(j)[0]
+        if at > left.end - EDGE_CHARS:
+            return None
+        if not right.starts(j):
             continue
-        if len(left.ids) < i + n or left.spans[i + n - 1][1] > left.end - EDGE_CHARS // 2:
+        i = left.at_or_after(at)
+        if len(left.ids) < i + n or left.span(i + n - 1)[1] > left.end - EDGE_CHARS // 2:
             return None
-        if left.ids[i : i + n] == right.ids[j : j + n] and left.spans[i : i + n] == right.spans[j : j + n]:
+        if left.span(i)[0] == at and left.starts(i) and left.ids[i : i + n] == right.ids[j : j + n] and all(left.span(i + k) == right.span(j + k) for k in range(n)):
             return i, j
     return None
 
@@ -101,10 +126,29 @@ def encode_huge(tokenizer, text: str, chunk: int = CHUNK_CHARS, overlap: int = O
 
 
 def splits_at_space(tokenizer) -> bool:
-    """Whether this tokenizer's tokens never hold or depend on white space, tried on probes."""
-    probes = ["a b", "word  word\n\nword", "\ta 1 ' s 's", f"x{SPACES}y z . , !", "'ll'"]
-    count = lambda x: tokenizer.encode(x, add_special_tokens=False).ids
-    return all(count(p) == [i for w in WORD.findall(p) for i in count(w)] for p in probes)
+    """Whether this tokenizer's own description proves that no token holds or depends on white space.
+
+    That is so if it drops everything but the matches of a pattern whose alternatives are literals or repeated classes
+    without white space, maps characters one by one before (compositions never reach over white space), and has no
+    added token that holds, strips or looks beside itself.
+    """
+    import regex
+
+    spec = json.loads(tokenizer.to_str())
+    steps = lambda x, name: [] if x is None else x[name] if x["type"] == "Sequence" else [x]
+    for step in steps(spec["normalizer"], "normalizers"):
+        if step["type"] not in ("NFC", "Lowercase") and not (step["type"] == "Replace" and step["pattern"] == {"Regex": "\\s+"} and step["content"] == " "):
+            return False
+    if any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] or ANY_SPACE.search(x["content"]) for x in spec["added_tokens"]):
+        return False
+    first = next(iter(steps(spec["pre_tokenizer"], "pretokenizers")), {})
+    if first.get("type") != "Split" or first["behavior"] != "Removed" or not first["invert"] or "Regex" not in first["pattern"]:
+        return False
+    for part in regex.split(r"\|(?![^\[]*\])", first["pattern"]["Regex"]):
+        literal, group = regex.fullmatch(r"[\w'<>-]+", part), regex.fullmatch(r"(\[(?:[^\[\]\\]|\\[sSpPdDwW](?:\{\w+\})?)+\])\+?", part)
+        if not literal and (not group or regex.search(group[1], SPACES)):
+            return False
+    return True
 
 
 class Counter:
@@ -145,6 +189,9 @@ def counter(path: str, huge: int, chunk: int, overlap: int) -> Counter:
     return Counter(path, huge, chunk, overlap)
 
 
+MEMORIES[__name__] = counter.cache_clear
+
+
 def count_tokens(docs: DataFrame, path: str, *, id_column: str = "doc_id", text_column: str = "text", limit: int = 2048,
                  huge: int = HUGE_CHARS, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
     """One row per input row: the id, n_bytes, n_tokens, over_limit (n_tokens > limit).
