@@ -1,13 +1,15 @@
 """License scans: one Aho-Corasick pass finds notice phrases and identifier tags; tags' expressions are parsed.
 
 A tag's expression (``(MIT OR Apache-2.0) AND GPL-2.0-only WITH Classpath-exception-2.0``) goes through a shunting-yard
-parser with the precedence WITH, AND, OR, and is evaluated as a set of alternatives, each a set of licences.
+parser with the precedence WITH, AND, OR, and is evaluated to a factored form whose alternatives are the labels.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from hashlib import md5
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,16 +43,16 @@ TAG_WEIGHT = 0.99
 #: A to Z lower, other ASCII outside 0-9 and a-z to a space; bytes above stay.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
-ALTERNATIVES = 64  # an expression with more is labelled by its licences, not its alternatives
-TOKEN = re.compile(r"[()]|[a-z0-9.+:-]+")
+TOKEN = re.compile(rb"[()]|[a-z0-9.+:-]+")
+LEAD = re.compile(rb"[ :\t]*")
 
 
-def to_postfix(expression: str) -> list[str] | None:
-    """Shunting-yard: a licence expression in postfix, or None if it is malformed."""
+def to_postfix(tokens: Iterable[str]) -> list[str] | None:
+    """Shunting-yard: a licence expression in postfix, or None if it is malformed. Reads no token after the expression."""
     out: list[str] = []
     stack: list[str] = []
-    operand = False  # whether the last token ended an operand
-    for token in TOKEN.findall(expression.lower()):
+    operand, depth = False, 0  # whether the last token ended an operand; open brackets
+    for token in tokens:
         if token in PRECEDENCE:
             if not operand:
                 return None
@@ -62,48 +64,140 @@ def to_postfix(expression: str) -> list[str] | None:
             if operand:
                 break
             stack.append(token)
+            depth += 1
         elif token == ")":
-            if not operand or "(" not in stack:
+            if not operand or not depth:
                 break
             while stack[-1] != "(":
                 out.append(stack.pop())
             stack.pop()
+            depth -= 1
         elif operand:
             break  # prose after the expression
         else:
             out.append(token)
             operand = True
-    if not operand or "(" in stack:
+    if not operand or depth:
         return None
     return out + stack[::-1]
 
 
-def evaluate(postfix: list[str]) -> frozenset[frozenset[str]]:
-    """The alternatives that satisfy an expression: OR unites them, AND combines them, WITH marks a licence."""
-    stack: list[frozenset[frozenset[str]]] = []
+class Node:
+    """A licence, or several joined by ``|`` or ``&``: nodes of the same sign are merged, so signs alternate downwards."""
+
+    __slots__ = ("sign", "parts", "least", "digest")
+
+    def __init__(self, sign: str, parts: list):
+        self.sign, self.parts = sign, parts  # a licence: sign "" and its name as only part
+
+    def below(self) -> list[Node]:
+        """Itself and all nodes under it, those above first."""
+        out = [self]
+        for node in out:
+            if node.sign:
+                out += node.parts
+        return out
+
+
+def joined(sign: str, left: Node, right: Node) -> Node:
+    """Both under one sign; the larger one's list is extended, so a long chain is linear."""
+    if left.sign != sign or right.sign == sign and len(right.parts) > len(left.parts):
+        left, right = right, left
+    if left.sign != sign:
+        return Node(sign, [left, right])
+    left.parts += right.parts if right.sign == sign else [right]
+    return left
+
+
+def evaluate(postfix: list[str]) -> Node | None:
+    """An expression in factored form: nothing is multiplied out, so its size is that of the expression.
+
+    WITH marks every licence on its left; None if its right is not one name.
+    """
+    stack: list[Node] = []
     for token in postfix:
         if token not in PRECEDENCE:
-            stack.append(frozenset({frozenset({token})}))
+            stack.append(Node("", [token]))
             continue
         right, left = stack.pop(), stack.pop()
-        if token == "or":
-            stack.append(left | right)
-        elif token == "with":
-            exception = min(min(right, key=sorted))
-            stack.append(frozenset(frozenset(f"{x}-with-{exception}" for x in one) for one in left))
-        elif len(left) * len(right) > ALTERNATIVES:
-            stack.append(frozenset({frozenset().union(*left, *right)}))
+        if token == "with":
+            if right.sign:
+                return None
+            for node in left.below():
+                if not node.sign:
+                    node.parts = [f"{node.parts[0]}-with-{right.parts[0]}"]
+            stack.append(left)
         else:
-            stack.append(frozenset(a | b for a in left for b in right))
+            stack.append(joined("|" if token == "or" else "&", left, right))
     return stack[0]
 
 
-def tag_labels(line: str) -> list[str]:
-    """``spdx:`` and each alternative of a tag's expression, licences joined by ``&``; spdx:invalid if malformed."""
-    postfix = to_postfix(line)
-    if postfix is None:
+def canonical(root: Node) -> Node:
+    """The same with equal parts once and parts in the order of their least licence, then of a digest of the whole."""
+    for node in reversed(root.below()):
+        if node.sign:
+            parts = [y for x in node.parts for y in (x.parts if x.sign == node.sign else [x])]
+            once = {x.digest: x for x in parts}
+            node.parts = sorted(once.values(), key=lambda x: (x.least, x.digest))
+            node.least = node.parts[0].least
+            if len(node.parts) == 1:  # a part that is all there is
+                only = node.parts[0]
+                node.sign, node.parts, node.digest = only.sign, only.parts, only.digest
+                continue
+            node.digest = md5("".join([node.sign, *(x.digest for x in node.parts)]).encode()).hexdigest()
+        else:
+            node.least = node.parts[0]
+            node.digest = md5(node.least.encode()).hexdigest()
+    return root
+
+
+def printed(root: Node) -> str:
+    """``a&(b|c)``."""
+    out: list[str] = []
+    todo: list[Node | str] = [root]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif not x.sign:
+            out.append(x.parts[0])
+        else:
+            for k, part in enumerate(reversed(x.parts)):
+                if k:
+                    todo.append(x.sign)
+                todo += [")", part, "("] if part.sign else [part]
+    return "".join(out)
+
+
+def tag_labels(expression: str | bytes) -> list[str]:
+    """``spdx:`` and each alternative of an expression in factored form; spdx:invalid if malformed."""
+    data = expression.lower() if isinstance(expression, bytes) else expression.lower().encode()
+    return labels_of(data, 0, len(data))
+
+
+def labels_of(lower: bytes, start: int, end: int) -> list[str]:
+    """The labels of the expression between two places; its tokens are read one by one, as far as it goes."""
+    first = LEAD.match(lower, start, end).end()
+    postfix = to_postfix(x.group().decode() for x in TOKEN.finditer(lower, first, end))
+    root = evaluate(postfix) if postfix is not None else None
+    if root is None:
         return ["spdx:invalid"]
-    return sorted("spdx:" + "&".join(sorted(one)) for one in evaluate(postfix))
+    root = canonical(root)
+    return sorted(f"spdx:{printed(x)}" for x in (root.parts if root.sign == "|" else [root]))
+
+
+def tags(lower: bytes) -> Iterator[list[str]]:
+    """The labels of each tag of a text; an expression ends at its line's end or at the next tag."""
+    at, line = lower.find(TAG_RAW), -1
+    while at >= 0:
+        start = at + len(TAG_RAW)
+        following = lower.find(TAG_RAW, start)
+        if line < start:
+            line = lower.find(b"\n", start)
+            line = len(lower) if line < 0 else line
+        end = min(line, following) if following >= 0 else line
+        yield labels_of(lower, start, end)
+        at = following
 
 
 @lru_cache(maxsize=1)
@@ -138,13 +232,9 @@ def scan(text: str) -> tuple[int, int, int | None, int | None, str, str, float]:
         last = word
     named = {x for x, _ in labels}
     if "spdx" in named:
-        lower = raw.lower()
-        at = lower.find(TAG_RAW)
-        while at >= 0:
-            line = lower[at + len(TAG_RAW) :].split(b"\n", 1)[0] if lower.find(b"\n", at) < 0 else lower[at + len(TAG_RAW) : lower.find(b"\n", at)]
-            named |= set(tag_labels(line.decode(errors="replace").lstrip(" :\t")))
-            at = lower.find(TAG_RAW, at + 1)
-    for _, weight in labels:
+        for found in tags(raw.lower()):
+            named.update(found)
+    for _, weight in sorted(labels):
         miss *= 1 - weight
     return len(words), n_base, first, last, ",".join(sorted(base_labels)), ",".join(sorted(named)), round(1 - miss, 9)
 
