@@ -2,25 +2,25 @@
 
 A sentence ends after a word that ends in ``.``, ``!`` or ``?`` and at a line's end; one of under four words goes with the
 next. A long one is cut after words whose hash is the least of the seven around, so that the same passage is cut alike
-wherever it stands. From each sentence on, the shortest run of at
-least three sentences and twelve words is hashed, with the space inside it. Hashes are counted over all texts (64 bits
-prune, 128 decide), and every sentence that a repeated run covers goes, unless that run is the first of its kind by
+wherever it stands. From each sentence on, the shortest run of at least three sentences and twelve words is hashed, with
+the space inside it. Every sentence that a repeated run covers goes, unless that run is the first of its kind by
 (id, text checksum, place).
 
-Hashes of runs are differences of one running sum over the text's bytes, so a text costs a few numpy passes.
+A run's 128-bit digest decides what is equal. All runs are hashed in one pass and meet in one shuffle, where those that
+are not the first of their digest show as ranks. A run that the same batch of texts holds at an earlier place is not the
+first for sure and is dealt out evenly, so a digest that very many texts share costs its task a row for each batch.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partlake.llm.common import map_batches
-from partlake.session import cut_lineage
 
 RUN_SENTENCES = 3
 RUN_WORDS = 12
@@ -30,70 +30,11 @@ SHORT_SENTENCE = 4
 LONG_SENTENCE = 16
 CUT = 3
 CUT_AT_MOST = 24
-#: Bytes are summed in parts of so many, with sums carried from each to the next; no result depends on it.
+#: Texts are looked through in parts of so many bytes; no result depends on it.
 PART_BYTES = 1 << 21
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 STOP = np.isin(np.arange(256), [ord(c) for c in ".!?"])
-#: Odd multipliers of the two running sums, and of the final mixing.
-FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-MIX = np.uint64(0xBF58476D1CE4E5B9)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * MIX
-    return x ^ (x >> np.uint64(27))
-
-
-@lru_cache(maxsize=1)
-def byte_values() -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit value of each byte for each running sum."""
-    at = np.arange(1, 257, dtype=np.uint64)
-    return tuple(mixed(mixed(at * np.uint64(f))) for f in FACTORS)
-
-
-@lru_cache(maxsize=4)
-def powers(size: int) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
-    """Powers of each multiplier and of its inverse modulo 2^64."""
-    out = []
-    for f in FACTORS:
-        both = []
-        for base in (f, pow(f, -1, 1 << 64)):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            both.append(np.multiply.accumulate(x))
-        out.append(tuple(both))
-    return tuple(out)
-
-
-class Running:
-    """A running sum over a text's bytes, kept only at given places."""
-
-    def __init__(self, b: np.ndarray, values: np.ndarray, table: tuple[np.ndarray, np.ndarray], factor: int):
-        self.b, self.values, self.factor = b, values, factor
-        self.power, self.inverse = table
-
-    def at(self, places: np.ndarray) -> np.ndarray:
-        """The sums of the bytes before each place; places ascend."""
-        out, before, raised = np.empty(len(places), np.uint64), np.uint64(0), 1
-        bounds = np.searchsorted(places, np.arange(0, len(self.b) + PART_BYTES, PART_BYTES))
-        for k, start in enumerate(range(0, len(self.b), PART_BYTES)):
-            piece = self.b[start : start + PART_BYTES]
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.values[piece] * self.power[: len(piece)], dtype=np.uint64)])
-            if start:
-                sums = sums * np.uint64(raised) + before
-            last = start + PART_BYTES >= len(self.b)
-            i, z = bounds[k], len(places) if last else bounds[k + 1]
-            out[i:z] = sums[places[i:z] - start]
-            before, raised = sums[-1], raised * pow(self.factor, PART_BYTES, 1 << 64) % (1 << 64)
-        return out
-
-    def lowered(self, places: np.ndarray) -> np.ndarray:
-        """The inverse of the multiplier's power at each place."""
-        if len(self.b) <= PART_BYTES:
-            return self.inverse[places]
-        far = pow(self.factor, -PART_BYTES, 1 << 64)
-        steps = np.array([pow(far, k, 1 << 64) for k in range(len(self.b) // PART_BYTES + 1)], np.uint64)
-        return steps[places // PART_BYTES] * self.inverse[places % PART_BYTES]
+DIGEST_BYTES = 16
 
 
 def words_of(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,19 +51,18 @@ def words_of(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Part:
-    """The sentences of a text: byte places, and the runs from each on with their hashes."""
+    """The sentences of a text as byte places, and the runs from each on."""
+
+    def __init__(self, data: bytes):
+        import xxhash
 
-    def __init__(self, data: bytes, hashes: bool = True):
         b = np.frombuffer(data, np.uint8)
         starts, ends, lines = words_of(b)
         n = len(starts)
         self.starts, self.ends = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.lengths, self.h, self.g = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.lengths, self.from_, self.to = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         if not n:
             return
-        table = powers(1 << max(16, min(len(b), PART_BYTES).bit_length()))
-        one, other = (Running(b, v, t, f) for v, t, f in zip(byte_values(), table, FACTORS))
-        before, upto_end = one.at(starts), one.at(ends)
         last = STOP[b[ends - 1]]
         last[np.searchsorted(starts, lines) - 1] = True  # an early line end marks the last word, which ends one anyway
         last[-1] = True
@@ -133,7 +73,8 @@ class Part:
         first = np.concatenate([[0], stops[:-1] + 1])
         long = np.repeat(stops - first + 1 > LONG_SENTENCE, stops - first + 1)
         if long.any():
-            word = mixed((upto_end - before) * one.lowered(starts))
+            word = np.full(n, 2**64 - 1, np.uint64)
+            word[long] = [xxhash.xxh64_intdigest(data[a:z]) for a, z in zip(starts[long].tolist(), ends[long].tolist())]
             near = np.lib.stride_tricks.sliding_window_view(np.pad(word, CUT, constant_values=2**64 - 1), 2 * CUT + 1)
             last |= long & (word == near.min(axis=1))
             stops = np.flatnonzero(last)
@@ -147,51 +88,64 @@ class Part:
         upto = np.maximum(k + RUN_SENTENCES, np.searchsorted(stops, first + RUN_WORDS - 1) + 1)
         whole = upto <= len(first)
         k, upto = k[whole], upto[whole]
-        self.lengths = upto - k
-        if not hashes:
-            return
-        head, tail = first[k], stops[upto - 1]
-        self.h = mixed((upto_end[tail] - before[head]) * one.lowered(starts[head])).view(np.int64)
-        self.g = mixed((other.at(ends[tail]) - other.at(starts[head])) * other.lowered(starts[head])).view(np.int64)
+        self.lengths, self.from_, self.to = upto - k, starts[first[k]], ends[stops[upto - 1]]
 
 
-def runs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The number of the first sentence and two hashes of every run of a text."""
+def runs(data: bytes) -> list[bytes]:
+    """The digest of each run of a text, in the order of their first sentences."""
     p = Part(data)
-    return np.arange(len(p.lengths), dtype=np.int64), p.h, p.g
+    return [blake2b(data[a:z], digest_size=DIGEST_BYTES).digest() for a, z in zip(p.from_.tolist(), p.to.tolist())]
 
 
 def sentences(data: bytes) -> tuple[list[tuple[int, int]], list[int]]:
     """Byte places of a text's sentences, white space after one belongs to it; and how many each one's run has, 0 if none."""
-    p = Part(data, hashes=False)
+    p = Part(data)
     places = list(zip(p.starts.tolist(), p.ends.tolist()))
     return places, [*p.lengths.tolist(), *[0] * (len(p.starts) - len(p.lengths))]
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """Every run of every text: id, place (t and the sentence's number in one long), h, g. ``docs``: id, t (an int), text."""
+    """Every run of every text: id, place (t and the sentence's number in one long), h and g (the digest), late.
+
+    ``late``: the batch holds the run at a smaller (id, place), so it is not the first; its h is a hash of its place then,
+    and g is 0. ``docs``: id, t (an int), text.
+    """
+    import xxhash
+
     kind = docs.schema["id"].dataType.simpleString()
 
     def make(batch: pa.RecordBatch) -> dict:
-        rows, found = [np.zeros(0, np.int64)], [(np.zeros(0, np.int64),) * 3]
+        ids, checks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        rows, places, digests = [], [np.zeros(0, np.int64)], []
         for k, text in enumerate(batch.column(2).to_pylist()):
             if text:
-                place, h, g = runs(text.encode("utf-8", "surrogatepass"))
-                found.append((place + (batch.column(1)[k].as_py() << 32), h, g))
-                rows.append(np.full(len(found[-1][0]), k, np.int64))
-        take = pa.array(np.concatenate(rows))
-        place, h, g = (pa.array(np.concatenate(x)) for x in zip(*found))
-        return {"id": batch.column(0).take(take), "place": place, "h": h, "g": g}
-
-    return map_batches(docs, make, f"id {kind}, place bigint, h bigint, g bigint")
+                found = runs(text.encode("utf-8", "surrogatepass"))
+                digests += found
+                places.append(np.arange(len(found), dtype=np.int64) + (checks[k] << 32))
+                rows += [k] * len(found)
+        place = np.concatenate(places)
+        held = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2).copy()
+        texts = sorted({(ids[k] is not None, ids[k], checks[k]) for k in set(rows)})  # equal rows are one place
+        rank = {x: r for r, x in enumerate(texts)}
+        by_rank = np.array([rank[ids[k] is not None, ids[k], checks[k]] for k in rows], np.int64)
+        at = by_rank << 32 | (place & 0xFFFFFFFF)
+        late = np.zeros(len(rows), bool)
+        if len(rows):
+            sort = np.lexsort((at, held[:, 1], held[:, 0]))
+            new = np.concatenate([[True], (held[sort[1:]] != held[sort[:-1]]).any(axis=1)])
+            least = at[sort][np.maximum.accumulate(np.where(new, np.arange(len(sort)), 0))]
+            late[sort] = at[sort] != least
+            for k in np.flatnonzero(late).tolist():
+                held[k] = xxhash.xxh64_intdigest(f"{ids[rows[k]]} {place[k]}") - (1 << 63), 0
+        return {"id": batch.column(0).take(pa.array(rows, pa.int64())), "place": pa.array(place), "h": pa.array(held[:, 0]), "g": pa.array(held[:, 1]), "late": pa.array(late)}
+
+    return map_batches(docs, make, f"id {kind}, place bigint, h bigint, g bigint, late boolean")
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """(id, t, places): of each text, the sentences that begin a run that another place comes before. ``docs``: id, t, text."""
-    repeated = spans(docs).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    found = cut_lineage(spans(docs).join(repeated, "h"))
-    first = found.groupBy("h", "g").agg(F.min(F.struct("id", "place")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = found.join(first, ["h", "g"]).where(~F.struct("id", "place").eqNullSafe(F.col("first")))
+    order = F.rank().over(Window.partitionBy("h", "g").orderBy("id", "place"))
+    later = spans(docs).withColumn("order", order).where("late or order > 1")
     one = later.select("id", F.shiftright("place", 32).cast("int").alias("t"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("place"))
     return one.groupBy("id", "t").agg(F.collect_set("place").alias("places"))
 
