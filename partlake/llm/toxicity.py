@@ -1,7 +1,7 @@
 """Toxicity by weak supervision: many voters, a generative label model, a linear classifier on its posteriors.
 
 Voters are lexicon entries and patterns. Lexicon entries are stretches of words (a blank marks a word's edge) that the
-labelled sample finds far more often in toxic texts; patterns are shouting, exclamation marks and the like. The label model
+labelled sample finds far more often in toxic texts; patterns are shouting, masked or repeated words and the like. The label model
 is fitted without labels: expectation maximisation estimates each voter's rate under either class, and the correlation that
 voters keep within the classes; correlated voters speak with one voice, and who does not vote abstains. A logistic
 regression on densities of the voters' hits is then trained on the posteriors and scores every text.
@@ -15,14 +15,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partlake.llm.common import map_batches
 
-#: Bounds of the training sample: rows of either label, expected, and characters of a text.
+#: Bound of the training sample: rows of either label, with whole texts of any length.
 SAMPLE_TEXTS = {1: 600, 0: 1200}
-SAMPLE_CHARS = 8_192
 GRAMS = range(4, 9)
 LONGEST = 26  # a whole word with its edges up to this length is an entry too
 LEXICON = 80
@@ -37,7 +36,10 @@ CAPITALS = re.compile("[A-Z]+")
 SMALL = re.compile("[a-z]+")
 SHOUT = re.compile("!{2,}")
 MARKS = re.compile("[#$%&*]+")
-PATTERNS = 3  # voters that patterns() has
+MASKED = re.compile(r"[^\W\d_][*@#$]+[^\W\d_]")
+LEET = re.compile(r"[^\W\d_][013457]+[^\W\d_]")
+AGAIN = re.compile(r"\b([^\W\d_]{3,})(?:[\W_]+\1\b){2,}", re.IGNORECASE)
+PATTERNS = 6  # voters that patterns() has
 
 
 def folded(text: str) -> str:
@@ -46,10 +48,14 @@ def folded(text: str) -> str:
 
 
 def patterns(text: str) -> list[float]:
-    """Votes of the pattern voters: mostly capitals, runs of exclamation marks, other marks."""
+    """Votes of the pattern voters, which know no language: mostly capitals, runs of exclamation marks, other marks,
+    words with masked letters, words with digits for letters, a word three times in a row."""
     words = text.count(" ") + 1
     upper, small = len(text) - len(CAPITALS.sub("", text)), len(text) - len(SMALL.sub("", text))
-    return [float(upper > small), float(len(SHOUT.findall(text)) > 0.2 * words), float(len(MARKS.findall(text)) > 0.5 * words)]
+    marks = len(MARKS.findall(text))
+    masked = bool(marks) and len(MASKED.findall(text)) > 0.1 * words
+    leet = any(map(text.__contains__, "013457")) and len(LEET.findall(text)) > 0.2 * words
+    return [float(upper > small), float("!!" in text and len(SHOUT.findall(text)) > 0.2 * words), float(marks > 0.5 * words), float(masked), float(leet), float(AGAIN.search(text) is not None)]
 
 
 @dataclass
@@ -238,22 +244,27 @@ def train(rows: list[tuple[str, int]]) -> Model:
 
 def sample(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic",
            texts: dict[int, int] | None = None) -> list[tuple[str, int]]:
-    """About so many whole texts of either label, chosen by a hash of the id: a documented bound, not all rows.
+    """At most so many whole texts of either label, of any length: the first by a hash of the id.
 
-    The ids are drawn from ``labels`` alone, so that only their texts move.
+    The ids are drawn from ``labels`` alone, so that only their texts move. An id with several labels counts for each; of
+    rows in ``docs`` with one id and text one is taken, and of more than the bound those first by a hash of id and text.
     """
-    usable = labels.where(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull())
-    counts = {int(r[0]): r[1] for r in usable.groupBy(label_column).count().collect()}
+    most = texts or SAMPLE_TEXTS
+    order = F.xxhash64(F.col(id_column).cast("string"), F.lit("sample"))
+    usable = labels.where(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull()).select(F.col(id_column).alias("__id"), F.col(label_column).cast("int").alias("__label"), order.alias("__order"))
+    counts = {r[0]: r[1] for r in usable.groupBy("__label").agg(F.approx_count_distinct("__order")).collect()}
     if not counts:
         return []
-    rate = F.lit(0.0)
+    rate = F.lit(0.0)  # twice the wanted share, so that hardly a draw falls short
     for y, n in counts.items():
-        rate = F.when(F.col(label_column) == y, F.lit(min(1.0, (texts or SAMPLE_TEXTS)[y] / n))).otherwise(rate)
-    draw = F.pmod(F.xxhash64(F.col(id_column).cast("string"), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = usable.where(draw < rate).select(F.col(id_column).alias("__id"), F.col(label_column).alias("__label"))
-    fits = (F.length(text_column) > 0) & (F.length(text_column) <= SAMPLE_CHARS)
-    rows = docs.where(fits).join(F.broadcast(drawn), F.col(id_column) == F.col("__id")).select(text_column, "__label").collect()  # as many as drawn
-    return sorted((r[0], int(r[1])) for r in rows)
+        rate = F.when(F.col("__label") == y, F.lit(min(1.0, 2 * most[y] / max(1, n)))).otherwise(rate)
+    draw = F.pmod("__order", F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = usable.where(draw < rate).dropDuplicates(["__id", "__label"])
+    drawn = drawn.withColumn("__rank", F.row_number().over(Window.partitionBy("__label").orderBy("__order"))).where(" or ".join(f"__label = {y} and __rank <= {n}" for y, n in most.items()))
+    found = docs.where(F.length(text_column) > 0).join(F.broadcast(drawn.drop("__rank")), F.col(id_column) == F.col("__id"))  # as many as the bound
+    once = found.select(F.col(text_column).alias("text"), "__label", F.xxhash64("__order", text_column).alias("at")).dropDuplicates(["__label", "at"])
+    once = once.withColumn("rank", F.row_number().over(Window.partitionBy("__label").orderBy("at"))).where(" or ".join(f"__label = {y} and rank <= {n}" for y, n in most.items()))
+    return sorted((r[0], r[1]) for r in once.select("text", "__label").collect())
 
 
 def score_texts(docs: DataFrame, model: Model, *, keep: dict[str, Column], text_column: str = "text", threshold: float = THRESHOLD, with_text: bool = False) -> DataFrame:
