@@ -5,13 +5,14 @@ loss: the residual's part along the vector costs more than the part across it, s
 that the vector matters to. Codebooks are fitted on a bounded sample; every row is coded.
 
 A query's inner products with the centres are a table; two neighbouring codes are looked up as one byte. The best by
-these sums, many times the wanted number, are reranked by exact inner products in double precision. Queries go in blocks
-to the chunks of vectors, and each task keeps only the best for each query.
+these sums, many times the wanted number, are reranked by exact inner products in double precision.
+
+Every row is dealt to one chunk of bounded bytes, and each query goes to every chunk; a task codes a chunk once, holds it,
+and lets its queries stream past. So vectors are shuffled once, and queries as often as there are chunks.
 """
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,11 +28,10 @@ SUB = 2  # components of a subspace
 SAMPLE_VECTORS = 8_000
 ROUNDS = 8
 THRESHOLD = 0.2  # of the score-aware weight: inner products from this share of the norms on matter
-CHUNK_VECTORS = 16_384
-QUERY_BLOCK = 512
+CHUNK_BYTES = 64 << 20  # of a chunk's vectors
+LEAST_CHUNK = 1_000  # vectors of a chunk, about, where there are more cores than chunks of that size
 RERANK = 8  # times the wanted number, at least RERANK_LEAST
 RERANK_LEAST = 200
-SCAN_ROWS = 4_096  # vectors scanned at once
 
 
 @dataclass
@@ -119,14 +119,18 @@ def uu_y(u: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (u * (u * y).sum(axis=1, keepdims=True)).sum(axis=0)
 
 
-def scan(index: Index, codes: np.ndarray, tables: np.ndarray, many: int, ids: np.ndarray) -> np.ndarray:
-    """(queries, many) rows with the largest table sums; equal sums by smaller id. ``ids`` ascend."""
+def scan(codes: np.ndarray, tables: np.ndarray, many: int, out_of: np.ndarray) -> np.ndarray:
+    """(queries, many) rows with the largest table sums; of equal sums those that stand first.
+
+    ``out_of``: (queries, 2), where the rows that are passed over begin and end for each query; they come last, if at all.
+    """
     out = np.empty((len(tables), min(many, len(codes))), np.int64)
     at = np.ascontiguousarray(codes.T).astype(np.intp)
     for k, table in enumerate(tables):
         sums = table[0].take(at[0])
         for j in range(1, len(table)):
             sums += table[j].take(at[j])
+        sums[out_of[k, 0] : out_of[k, 1]] = -np.inf
         if len(sums) > many:
             edge = np.partition(sums, len(sums) - many)[len(sums) - many]
             above = np.flatnonzero(sums > edge)
@@ -136,16 +140,6 @@ def scan(index: Index, codes: np.ndarray, tables: np.ndarray, many: int, ids: np
     return out
 
 
-def dump(**arrays: np.ndarray) -> bytes:
-    out = io.BytesIO()
-    np.savez(out, **arrays)
-    return out.getvalue()
-
-
-def load(data: bytes) -> dict[str, np.ndarray]:
-    return dict(np.load(io.BytesIO(data)))
-
-
 def _usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     """id and vector of rows that take part: not null or zero, no null or non-finite component."""
     v = F.col(vector_column).cast("array<double>")
@@ -153,89 +147,86 @@ def _usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame
     return vectors.where(F.col(id_column).isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(id_column).cast("long").alias("id"), v.alias("v"))
 
 
-def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    v = batch.column(1)
-    return batch.column(0).to_numpy(zero_copy_only=False), v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+class Chunk:
+    """Coded vectors, ids ascending, that queries are held against."""
 
+    def __init__(self, index: Index, ids: np.ndarray, v: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        self.index, self.ids, self.v = index, ids[order], v[order]
+        self.codes = np.concatenate([index.packed(self.v[k : k + 2048]) for k in range(0, len(v), 2048)])
 
-def search(vectors: DataFrame, *, id_column: str = "vec_id", vector_column: str = "embedding", every: int = 20, nearest: int = 20) -> DataFrame:
-    """query_id, rank, vec_id, score: the ``nearest`` rows found for each row whose id is divisible by ``every``.
+    def best(self, queries: np.ndarray, q: np.ndarray, nearest: int, many: int) -> list[np.ndarray]:
+        """query, id and exact score of the nearest found of each query."""
+        out = []
+        own = np.stack([np.searchsorted(self.ids, queries, side) for side in ("left", "right")], axis=1)
+        for k in range(0, len(q), 64):
+            for query, vector, rows in zip(queries[k : k + 64], q[k : k + 64], scan(self.codes, self.index.tables(q[k : k + 64]), many, own[k : k + 64])):
+                rows = rows[self.ids[rows] != query]
+                score = (self.v[rows] * vector).sum(axis=1)
+                order = np.lexsort((self.ids[rows], -score))[:nearest]
+                out.append((np.full(len(order), query), self.ids[rows][order], score[order]))
+        return [np.concatenate(x) for x in zip(*out)]
 
-    Scores are exact inner products in double precision; ties go to the smaller id; a query is not its own candidate
-    (rows that repeat its id are left out with it). Rows with a null id, a null or zero vector, or a null or non-finite
-    component take no part; vectors have one length, that of most usable rows, and others take no part either.
-    With fewer candidates all are returned; an empty table gives an empty result.
+
+def search(vectors: DataFrame, *, id_column: str = "vec_id", vector_column: str = "embedding", every: int = 20, nearest: int = 20, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """query_id, rank, vec_id, score: the ``nearest`` rows found for each id that is divisible by ``every``.
+
+    Scores are exact inner products in double precision; ties go to the smaller id. An id asks once: of rows that share
+    it, the one with the least vector. A query is not its own candidate, and neither is any row with its id. Other rows
+    are candidates each, so a repeated one can take several ranks. Rows with a null id, a null or zero vector, or a null
+    or non-finite component take no part; vectors have one length, that of most usable rows, and others take no part
+    either. With fewer candidates all are returned; an empty table gives an empty result.
     """
-    ship(vectors.sparkSession)
+    spark = vectors.sparkSession
+    ship(spark)
     usable = _usable(vectors, id_column, vector_column)
     lengths = usable.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    schema = "query_id long, rank int, vec_id long, score double"
     if not lengths:
-        return vectors.sparkSession.createDataFrame([], schema)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     size, total = lengths[0]["n"], lengths[0]["count"]
     usable = usable.where(F.size("v") == size)
-    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = usable.where(draw < F.lit(min(1.0, SAMPLE_VECTORS / total))).orderBy("id").limit(2 * SAMPLE_VECTORS).collect()  # a bounded sample
+    draw = F.pmod(F.xxhash64("id", "v"), F.lit(1 << 30))
+    share = int(min(1.0, 1.5 * SAMPLE_VECTORS / total) * (1 << 30))
+    drawn = usable.select("v", draw.alias("draw")).where(F.col("draw") < share).dropDuplicates(["draw"]).orderBy("draw").limit(SAMPLE_VECTORS).collect()
     index = fit(np.array([r["v"] for r in drawn]) if drawn else np.eye(size))
-    shared = vectors.sparkSession.sparkContext.broadcast(index)
+    shared = spark.sparkContext.broadcast(index)
     many = max(RERANK * nearest, RERANK_LEAST)
+    cores = spark.sparkContext.defaultParallelism
+    chunks = max(1, -(-total * size * 8 // chunk_bytes), min(2 * cores, total // LEAST_CHUNK))
 
-    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Coded chunks of vectors, ids ascending."""
-        held, n = [], 0
-
-        def out() -> pa.RecordBatch:
-            ids, v = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-            order = np.argsort(ids, kind="stable")
-            ids, v = ids[order], v[order]
-            return pa.RecordBatch.from_arrays([pa.array([dump(ids=ids, v=v, codes=np.concatenate([shared.value.packed(v[k : k + 2048]) for k in range(0, len(v), 2048)]))], pa.binary())], names=["chunk"])
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by chunk, its vectors before its queries."""
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        own, chunk = None, None
         for batch in batches:
-            for k in range(0, batch.num_rows, CHUNK_VECTORS):
-                held.append(_matrix(batch.slice(k, CHUNK_VECTORS)))
-                n += len(held[-1][0])
-                if n >= CHUNK_VECTORS:
-                    yield out()
-                    held, n = [], 0
-        if n:
-            yield out()
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                ids, v = _matrix(batch.select(["id", "v"]))
-                for b in np.unique(batch.column(2).to_numpy()):
-                    own = batch.column(2).to_numpy() == b
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([dump(ids=ids[own], v=v[own])], pa.binary())], names=["b", "queries"])
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The best of each query over the (query block, chunk) pairs of a task."""
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            for data, more in zip(batch.column(0), batch.column(1)):
-                chunk, block = load(data.as_py()), load(more.as_py())
-                ids, v = chunk["ids"], chunk["v"]
-                for k in range(0, len(block["ids"]), 64):
-                    qs, q = block["ids"][k : k + 64], block["v"][k : k + 64]
-                    for query, vector, rows in zip(qs, q, scan(shared.value, chunk["codes"], shared.value.tables(q), many, ids)):
-                        rows = rows[ids[rows] != query]
-                        exact = (v[rows] * vector).sum(axis=1)
-                        found, score = ids[rows], exact
-                        if (old := best.get(int(query))) is not None:
-                            found, score = np.concatenate([old[0], found]), np.concatenate([old[1], score])
-                        order = np.lexsort((found, -score))[:nearest]
-                        best[int(query)] = found[order], score[order]
-        if best:
-            queries = np.repeat(np.array(list(best), np.int64), [len(x[0]) for x in best.values()])
-            found, score = (np.concatenate(x) for x in zip(*best.values()))
-            yield pa.RecordBatch.from_arrays([pa.array(queries), pa.array(found), pa.array(score)], names=["query_id", "vec_id", "score"])
-
-    coded = usable.select("id", "v").mapInArrow(chunks, "chunk binary")
-    count = -(-total // (every * QUERY_BLOCK)) or 1
-    asked = usable.where(F.col("id") % every == 0).select("id", "v", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias("b"))
-    asked = asked.mapInArrow(blocks, "b int, queries binary")  # a piece of each block for each batch
-    spread = coded.select("chunk", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("b"))  # queries in blocks against all rows
-    met = spread.join(asked, "b").select("chunk", "queries").mapInArrow(pairs, "query_id long, vec_id long, score double")
+            keys, asks = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            ids, v = batch.column(2).to_numpy(zero_copy_only=False), _matrix(batch.column(3))
+            edges = [0, *(np.flatnonzero((np.diff(keys) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1).tolist(), len(keys)]
+            for a, z in zip(edges, edges[1:]):
+                if a == z:
+                    continue
+                if keys[a] != own:
+                    own, chunk, held = keys[a], None, []
+                if not asks[a]:
+                    held.append((ids[a:z], v[a:z]))
+                    continue
+                if held:
+                    chunk = Chunk(shared.value, np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
+                    held = []
+                if chunk is not None:
+                    found = chunk.best(ids[a:z], v[a:z], nearest, many)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
+
+    place = F.pmod(F.monotonically_increasing_id(), F.lit(chunks)).cast("int")
+    rows = usable.select(place.alias("chunk"), F.lit(False).alias("asks"), "id", "v")
+    asked = usable.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
+    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(True).alias("asks"), "id", "v")
+    met = rows.unionByName(asked).repartition(chunks, "chunk").sortWithinPartitions("chunk", "asks")
+    met = met.mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = met.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score")
     return ranked.where(F.col("rank") <= nearest)
