@@ -54,7 +54,7 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jpeg.read_media(jpeg.store_texts(read_table(spark, sf_dir, "documents")))
+    return jpeg.read_media(jpeg.store_texts(read_table(spark, sf_dir, "documents")), tensors=True)
 
 
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
