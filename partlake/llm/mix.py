@@ -15,9 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from partlake.session import cut_lineage
+
 BLOCK_ROWS = 64
 BUCKET_ROWS = 20_000  # rows that are ranked together, about
 MOST_SLOTS = 10_000
+HOT = 4  # times the usual rows of a bucket: only rows that share an id can be so many
+SPLIT_BITS = 12
+MOST_BROADCAST = 1_000_000  # rows of a plan, by its bound, up to which it is sent to all tasks
 
 
 def _edf(q: Column, slots: Column) -> Column:
@@ -71,7 +76,8 @@ def mix(docs: DataFrame, weights: dict[str, int], *, other: int = 1, id_column:
 
     ``weights`` are whole numbers; sources they do not name, and null, form one stream of weight ``other``. Every input row
     comes out once: repeated rows too, in any order among themselves. Rows of a stream stand by a hash of their id (of the
-    whole row if it is null), then id, then row hash. An empty table gives an empty result. The struct keeps columns of
+    whole row if it is null), then id, then row hash; where repeated ids fill a bucket, it stands by parts of the row hash
+    first. An empty table gives an empty result. The struct keeps columns of
     any name apart from the added ones.
     """
     if not all(isinstance(x, int) and x > 0 for x in [other, *weights.values()]) or sum(weights.values()) + other > MOST_SLOTS:
@@ -87,8 +93,13 @@ def mix(docs: DataFrame, weights: dict[str, int], *, other: int = 1, id_column:
     total = rows.count()
     bits = max(0, (max(1, total) // bucket_rows).bit_length())
     bucket = F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.lit(1 << bits) / F.lit(float(1 << 32))
-    rows = rows.withColumn("bucket", F.floor(bucket))
-    sizes = rows.groupBy("stream", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.withColumn("bucket", F.floor(bucket) * F.lit(1 << SPLIT_BITS))
+    sizes = cut_lineage(rows.groupBy("stream", "bucket").agg(F.count(F.lit(1)).alias("n")))
+    hot = sizes.where(F.col("n") > HOT * bucket_rows)
+    if not hot.isEmpty():  # the rows of one id are many: such a bucket is split by row hash
+        fine = F.when(F.col("n").isNotNull(), F.pmod("whole", F.lit(1 << SPLIT_BITS))).otherwise(F.lit(0))
+        rows = rows.join(hot, ["stream", "bucket"], "left").withColumn("bucket", F.col("bucket") + fine).drop("n")
+        sizes = cut_lineage(rows.groupBy("stream", "bucket").agg(F.count(F.lit(1)).alias("n")))
     earlier = Window.partitionBy("stream").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("stream", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
     within = Window.partitionBy("stream", "bucket").orderBy("key", "id", "whole")
@@ -99,7 +110,9 @@ def mix(docs: DataFrame, weights: dict[str, int], *, other: int = 1, id_column:
     ranked = ranked.select("row", "stream", block.alias("block"), (rank % block_rows).cast("int").alias("place"))
     ranked = ranked.withColumn("period", F.floor(F.col("block") / w)).withColumn("nth", F.col("block") % w)
     plan = schedule(sizes.groupBy("stream").agg(F.sum("n").alias("n")), all_weights, block_rows)
-    found = ranked.join(F.broadcast(plan), ["stream", "nth"]).where("period >= low and period < high")  # the plan's size is bounded by the weights
+    bound = (2 * len(all_weights) + 1) * sum(all_weights)  # rows of the plan, by the weights alone
+    plan = F.broadcast(plan) if bound <= MOST_BROADCAST else plan
+    found = ranked.join(plan, ["stream", "nth"]).where("period >= low and period < high")
     slot = F.col("first") + (F.col("period") - F.col("low")) * F.col("slots") + F.col("at")
     return found.select("row", "stream", "block", slot.alias("slot"), "place")
 
