@@ -43,6 +43,22 @@ def test_mix_deviates_by_less_than_a_block(spark):
     assert slot > 100
 
 
+def test_mix_splits_the_rows_of_one_id(spark):
+    """Rows that share an id are ranked in parts, whether sent to all tasks or joined: slots stay whole."""
+    rows = [(7, "a", f"text {k}") for k in range(3000)] + [(k, "b", "t") for k in range(100, 700)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    out = mix.mix(docs, {"a": 2, "b": 1}, block_rows=8, bucket_rows=100).select("row.*", "slot", "place").collect()
+    assert sorted((r.doc_id, r.source, r.text) for r in out) == sorted(rows)
+    assert len({(r.slot, r.place) for r in out}) == len(rows) and max(r.slot for r in out) == 3000 // 8 + 600 // 8 - 1
+
+
+def test_mix_plan_without_broadcast(spark, monkeypatch):
+    docs = read_table(spark, SF, "documents").select("doc_id", "source")
+    want = {tuple(r) for r in mix.mix(docs, {"src0": 3, "src1": 2}).select("row.doc_id", "slot", "place").collect()}
+    monkeypatch.setattr(mix, "MOST_BROADCAST", 0)
+    assert {tuple(r) for r in mix.mix(docs, {"src0": 3, "src1": 2}).select("row.doc_id", "slot", "place").collect()} == want
+
+
 def test_mix_oracle(spark):
     from compare import differences
 
@@ -68,6 +84,21 @@ def test_huge_texts_splice_exactly(name, texts):
         assert tokens.encode_huge(library, text, 700, 64) == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_huge_texts_through_the_operator(spark, texts, name):
+    """Texts over a small bound go by overlapping chunks: counts are the library's."""
+    path = queries.tokenizer_path(name)
+    library = tokens.load(path)
+    own = [(k, t) for k, t in texts.items()] + [(-1, "a" * 9000), (-2, "字" * 5000), (-3, "x y " * 4000), (-4, None), (-5, "  \n" * 3000)]
+    got = tokens.count_tokens(spark.createDataFrame(own, "doc_id long, text string"), path, huge=1500, chunk=900, overlap=64)
+    assert {r.doc_id: r.n_tokens for r in got.collect()} == {k: len(library.encode(t or "", add_special_tokens=False).ids) for k, t in own}
+
+
+def test_words_are_counted_apart_only_where_that_is_proven():
+    assert tokens.splits_at_space(tokens.load(queries.tokenizer_path("word_bpe_49k.json")))
+    assert not tokens.splits_at_space(tokens.load(queries.tokenizer_path("byte_bpe_50k.json")))
+
+
 # 3
 
 
@@ -92,12 +123,30 @@ def test_licenses_against_brute_force(spark, texts):
 def test_license_expressions():
     assert licenses.tag_labels("MIT") == ["spdx:mit"]
     assert licenses.tag_labels("MIT OR Apache-2.0 AND BSD-3-Clause") == ["spdx:apache-2.0&bsd-3-clause", "spdx:mit"]
-    assert licenses.tag_labels("(MIT OR X) AND GPL-2.0 WITH Classpath") == ["spdx:gpl-2.0-with-classpath&mit", "spdx:gpl-2.0-with-classpath&x"]
+    assert licenses.tag_labels("(MIT OR X) AND GPL-2.0 WITH Classpath") == ["spdx:gpl-2.0-with-classpath&(mit|x)"]
+    assert licenses.tag_labels("(B OR A) AND (A OR B) OR A AND A") == ["spdx:a", "spdx:b"]
+    assert licenses.tag_labels("A WITH (B OR C)") == ["spdx:invalid"]
+    many = licenses.tag_labels(" AND ".join(f"(a{k} OR b{k})" for k in range(9)))  # 512 alternatives, none of them lost
+    assert many == ["spdx:" + "&".join(f"(a{k}|b{k})" for k in range(9))]
     assert licenses.tag_labels("(MIT") == licenses.tag_labels("OR MIT") == licenses.tag_labels("") == ["spdx:invalid"]
     found = licenses.scan("// SPDX-License-Identifier: MIT OR Apache-2.0\ncode")
     assert "spdx:mit" in found[5] and "spdx:apache-2.0" in found[5]
 
 
+def test_many_tags_in_a_line_stay_linear():
+    import time
+
+    def took(n):
+        text = "// SPDX-License-Identifier: MIT or " * n + "SPDX-License-Identifier: " + "(a or (b and " * n + "c" + "))" * n
+        start = time.perf_counter()
+        found = licenses.scan(text)
+        assert found[5].startswith("spdx,spdx:") and "spdx:invalid" in found[5]
+        return time.perf_counter() - start
+
+    took(500)
+    assert took(16_000) < 40 * took(1_000)
+
+
 # 4
 
 
@@ -113,13 +162,42 @@ def test_pieces_equal_the_library(spark, texts):
     assert all(back[k] == (t or "") for k, t in texts.items() if "▁" not in (t or ""))
 
 
+def test_ids_come_from_the_rebuilt_backend(texts):
+    """The judge only marks: another answer of it changes parity, and the ids of the marked units alone."""
+    codec = spm.Codec(queries.tokenizer_path(queries.PIECE_MODEL), 1)
+    some = [t for t in texts.values() if t][:20] + ["one  two ▁ three", "▁", " ", "a\x1cb é́", "x" * 9000]
+    want = codec.encode(some)
+
+    class Judge:
+        def encode(self, units, num_threads):
+            return [[5] if "zzz" in u else x for u, x in zip(units, right.encode(units, num_threads=1))]
+
+        def piece_to_id(self, piece):
+            return right.piece_to_id(piece)
+
+    right, codec.judge = codec.judge, Judge()
+    codec.forget()
+    assert codec.encode(some) == want and all(want[1])
+    ids, same, _ = codec.encode(["one zzz two", "one two"])
+    assert same == [False, True] and np.frombuffer(ids[0], np.int32).tolist()[1:-1] == [5] and ids[1] == b"".join(x.tobytes() for x in [np.array(right.encode("one two"), np.int32)])
+
+
+def test_user_defined_and_control_pieces():
+    model = spm.Model.__new__(spm.Model)
+    model.pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("<sep>", 0.0, 4), ("▁", -1.0, 1), ("<", -2.0, 1), ("s", -2.0, 1), (">", -2.0, 1), ("a", -2.0, 1)]
+    model.kind, model.byte_fallback, model.charsmap, model.dummy_prefix, model.remove_extra, model.escape, model.unknown = spm.UNIGRAM, False, b"", True, False, True, 0
+    assert not model.unit_wise()
+    text = spm.normaliser(model).normalize_str("<s>a<sep>a")
+    assert spm.build(model, whole=True).encode(text).ids == [3, 4, 5, 6, 7, 2, 7]
+
+
 def test_unigram_model_is_rebuilt():
     score = lambda p: -float(len(p))
     model = spm.Model.__new__(spm.Model)
     model.pieces = [("<unk>", 0.0, 2), ("▁a", score("a"), 1), ("b", -1.0, 1), ("ab", -0.5, 1), ("▁", -2.0, 1), ("a", -1.5, 1)]
     model.kind, model.byte_fallback, model.charsmap, model.dummy_prefix, model.remove_extra, model.escape, model.unknown = spm.UNIGRAM, False, b"", True, True, True, 0
     tokenizer = spm.build(model, whole=True)
-    assert tokenizer.encode(" a  ab ").tokens == ["▁a", "▁a", "b"]  # -1 - 1 beats ▁ ab with -2 - 0.5
+    assert tokenizer.encode(spm.normaliser(model).normalize_str(" a  ab ")).tokens == ["▁a", "▁a", "b"]  # -1 - 1 beats ▁ ab with -2 - 0.5
 
 
 # 5
@@ -217,14 +295,73 @@ def test_runs_against_brute_force(spark, texts):
     assert got == {k: gone[k] for k in texts}
 
 
+def plain_sentences(data):
+    """Byte places of sentences and lengths of runs, by a walk over words."""
+    import re
+
+    import xxhash
+
+    words = [(m.start(), m.end(), b"\n" in m.group(2) or not m.group(2) and m.end() == len(data)) for m in re.finditer(rb"([^ \t-\r]+)([ \t-\r]*)", data)]
+    solid = [(a, a + len(data[a:z].rstrip(b" \t\n\v\f\r")), line) for a, z, line in words]
+    # a stop too close to the stop before it does not count, whether or not that one counted
+    stops = [k for k, (a, z, line) in enumerate(solid) if data[z - 1 : z] in (b".", b"!", b"?") or line or k == len(solid) - 1]
+    kept = [k for i, k in enumerate(stops) if k - (stops[i - 1] if i else -1) >= substr.SHORT_SENTENCE or k == len(solid) - 1]
+    groups = [list(range((kept[i - 1] if i else -1) + 1, k + 1)) for i, k in enumerate(kept)]
+    long = {k for g in groups if len(g) > substr.LONG_SENTENCE for k in g}
+    value = {k: xxhash.xxh64_intdigest(data[solid[k][0] : solid[k][1]]) for k in long}
+    out = []
+    for g in groups:
+        part, parts = [], []
+        for k in g:
+            part.append(k)
+            if k in long and all(value[k] <= value.get(j, 2**64 - 1) for j in range(k - substr.CUT, k + substr.CUT + 1)):
+                parts.append(part)
+                part = []
+        for part in [*parts, part] if part else parts:
+            out += [part[i : i + substr.CUT_AT_MOST] for i in range(0, len(part), substr.CUT_AT_MOST)]
+    places = [(solid[g[0]][0], solid[out[i + 1][0]][0] if i + 1 < len(out) else len(data)) for i, g in enumerate(out)]
+    lengths = []
+    for i in range(len(out)):
+        n = next((n for n in range(substr.RUN_SENTENCES, len(out) - i + 1) if sum(map(len, out[i : i + n])) >= substr.RUN_WORDS), 0)
+        lengths.append(n)
+    return places, lengths
+
+
+def test_sentences_against_a_walk(texts):
+    odd = [b"", b" \n", b"a", b"a b c d. e f. g h i j! k\n\nl m n o p?\n", b"w " * 100, b"One. Two. Three. Four five six seven. " * 4, "é ü. ß字 a b c d e.\nf".encode()]
+    for data in [*odd, *[t.encode() for t in texts.values() if t][:80]]:
+        places, lengths = substr.sentences(data)
+        assert (places, lengths) == plain_sentences(data) or not data.strip()
+
+
+def test_colliding_sums_do_not_cut(spark):
+    """Texts whose polynomial sums modulo 2^64 are equal are told apart by the digest."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    tail = " is one more thing. And then there is one thing more. The last of all these things is this."
+    out = substr.drop_repeated_spans(spark.createDataFrame([(1, word + tail), (2, other + tail)], "doc_id long, text string"), counts=True).collect()
+    assert [r.n_removed for r in out] == [0, 0]
+
+
+def test_hot_runs_meet_once_a_batch(spark):
+    """Of a run in very many texts a batch keeps the first for the shuffle; the others are late and dealt out apart."""
+    text = "The same first sentence stands here. The same second sentence follows it. And the same third one ends it."
+    rows = [(k, 0, text) for k in range(500)] + [(None, 3, text), (None, 3, text)]
+    found = substr.spans(spark.createDataFrame(rows, "id long, t int, text string").coalesce(1)).collect()
+    first = [r for r in found if not r.late]
+    assert len(found) == 502 and [r.id for r in first] == [None, None] and len({(r.h, r.g) for r in found if r.late}) == 500
+
+
 def test_parts_change_no_run(spark, texts, monkeypatch):
-    """Sums carried over small parts give the runs and sentences of the whole text, also of passages across an edge."""
+    """Looking through small parts gives the runs and sentences of the whole text, also of passages across an edge."""
     some = [t.encode() for t in texts.values() if t][:40] + [b"", b" \n", b"a" * 300, b"w " * 400]
     whole = [(substr.runs(d), substr.sentences(d)) for d in some]
     for size in (64, 37, 1000):
         monkeypatch.setattr(substr, "PART_BYTES", size)
         for d, (found, places) in zip(some, whole):
-            assert all((a == b).all() for a, b in zip(substr.runs(d), found)) and substr.sentences(d) == places
+            assert substr.runs(d) == found and substr.sentences(d) == places
 
 
 # 7
@@ -237,6 +374,22 @@ def test_payloads_come_back():
         assert image.payload() == payload and image.rgb().shape == (image.height, image.width, 3)
 
 
+def test_media_columns_against_hashlib(spark, texts):
+    """Every column of the query over all documents, by the standard library; equal tensors give equal features."""
+    import hashlib
+    import zlib
+
+    stored = {r.doc_id: bytes(r.media) for r in jpeg.store_texts(read_table(spark, SF, "documents")).collect()}
+    for r in queries.media_columns(spark, SF).collect():
+        data = (texts[r.doc_id] or "").encode()
+        padded = data + bytes(-len(data) % 64) if data else bytes(64)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(data), len(padded), hashlib.sha256(padded).hexdigest())
+        assert r.tail_crc32 == zlib.crc32(padded[-64:])
+        assert (r.media_bytes, r.media_sha256) == (len(stored[r.doc_id]), hashlib.sha256(stored[r.doc_id]).hexdigest())
+        rgb = np.frombuffer(r.rgb, np.uint8).reshape(r.height, r.width, 3)
+        assert r.feature == jpeg.feature(rgb) and f"{r.width}x{r.height}" in r.feature
+
+
 def test_general_reader_agrees(monkeypatch):
     media = jpeg.write(jpeg.pad(os.urandom(2000)))
     fast = jpeg.Image(media)
@@ -261,36 +414,104 @@ def test_language_accuracy(spark):
     assert sum(r.lang == r.lang_pred for r in out) / len(out) > 0.95
 
 
-def test_code_lengths_are_exact():
-    """Probabilities sum to one in every context, and lengths are those of a byte-by-byte walk."""
-    size, order = 8, 2
-    rng = np.random.default_rng(0)
-    counts = [rng.integers(0, 3, (size**k, size)) for k in range(order + 1)]
-    p = langid.distribution(counts, size)
-    assert np.allclose(p.sum(axis=1), 1)
-    model = langid.train([("x", "abracadabra abracadabra"), ("y", "zzyzx zyzzx")])
-    s = langid.symbols_of(b"abra zz", model.symbol).astype(int)
-    padded = [int(model.symbol[32])] * model.order + s.tolist()
-    want = np.zeros(2)
-    for k in range(len(s)):
-        at = 0
-        for x in padded[k : k + model.order + 1]:
-            at = at * langid.SYMBOLS + x
-        want += model.bits[at] * langid.UNIT
-    assert np.allclose(langid.code_lengths(model, "ABRA zz"), want)
+def walked(data, text):
+    """Bits of a text by a byte-by-byte walk over one language's counts, with escapes and exclusion."""
+    import math
+
+    counts = {}
+    for d in data:
+        s = b"   " + d
+        for i in range(3, len(s)):
+            for k in range(4):
+                counts.setdefault(s[i - k : i], Counter())[s[i]] += 1
+
+    def p(context, x):
+        shorter = (lambda y: p(context[1:], y)) if context else (lambda y: 1 / 256)
+        if (n := counts.get(context)) is None:
+            return shorter(x)
+        if x in n:
+            return n[x] / (n.total() + len(n))
+        return len(n) / (n.total() + len(n)) * shorter(x) / (1 - sum(map(shorter, n)))
+
+    s = b"   " + text
+    assert abs(sum(p(s[:3], x) for x in range(256)) - 1) < 1e-9
+    return sum(-math.log2(p(s[i - 3 : i], s[i])) for i in range(3, len(s)))
+
+
+def test_code_lengths_are_exact(monkeypatch):
+    own = {"x": [b"abracadabra abracadabra", "é字 zz".encode()], "y": ["zzyzx zyzzx привет".encode(), b""]}
+    model = langid.train([(k, d.decode()) for k, ds in own.items() for d in ds])
+    texts = ["abra zz", "", "q", "zyz é", "при字вет", "abracadabra" * 40]
+    for chunk in (1 << 18, 37):
+        monkeypatch.setattr(langid, "CHUNK", chunk)
+        for got, text in zip(langid.code_lengths(model, texts), texts):
+            for bits, k in zip(got, ("x", "y")):
+                assert abs(bits - walked(own[k], text.encode())) <= 0.01 + len(text.encode()) / langid.STEPS
+
+
+def test_scripts_of_many_bytes_are_told_apart():
+    rng = random.Random(1)
+    alphabets = {"ru": "абвгдежзиклмнопрстуфхцчшщ", "el": "αβγδεζηθικλμνξοπρστυφχψω", "en": "abcdefghijklmnopqrstuvwxyz", "zh": "的一是不了人我在有他这为之大来以个中上们"}
+    words = {k: ["".join(rng.choice(a) for _ in range(rng.randint(1, 4))) for _ in range(60)] for k, a in alphabets.items()}
+    text = lambda k: " ".join(rng.choice(words[k]) for _ in range(12))
+    model = langid.train([(k, text(k)) for k in alphabets for _ in range(20)])
+    asked = [k for k in alphabets for _ in range(10)]
+    assert [x for x, _ in langid.predict(model, [text(k) for k in asked])] == asked
+
+
+def test_language_sample_is_bounded_and_loses_none(spark):
+    """Null and repeated ids, a hot row and very long texts: each language is drawn, none over the bound."""
+    rows = [(None, f"english text {k}", "en") for k in range(900)] + [(k % 7, f"texte {k}", "fr") for k in range(700)]
+    rows += [(k, "lang " * 20_000 + str(k), "de") for k in range(5)] + [(9, "hola", "es")] * 500 + [(k, f"otro {k}", "es") for k in range(30)] + [(1, None, "xx"), (2, "", "yy"), (3, "zz", None)]
+    drawn = Counter(x for x, _ in langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), id_column="doc_id", text_column="text", lang_column="lang", texts=50))
+    assert set(drawn) == {"en", "fr", "de", "es"} and drawn["de"] == 5 and drawn["es"] == 31
+    assert all(40 <= drawn[k] <= 50 for k in ("en", "fr"))
 
 
 # 9
 
 
 def test_toxicity_holds_out(spark):
+    """Held-out documents of all languages together: how many toxic ones are found, how many others are marked."""
     sf = "/root/testdata/sf0.01"
     labels = read_table(spark, sf, "labels").select("doc_id", "toxic")
-    docs = read_table(spark, sf, "documents").select("doc_id", "text", "lang")
-    out = queries.toxicity_scores(spark, sf).join(labels, "doc_id").join(docs, "doc_id").where("held_out").collect()
+    out = queries.toxicity_scores(spark, sf).join(labels, "doc_id").where("held_out").collect()
     assert sum(r.predicted for r in out if not r.toxic) == 0
-    english = [r for r in out if r.toxic and r.lang == "en"]
-    assert sum(r.predicted for r in english) >= 0.8 * len(english)
+    toxic = [r for r in out if r.toxic]
+    assert sum(r.predicted for r in toxic) >= 0.75 * len(toxic)
+
+
+def test_toxicity_finds_every_language(spark):
+    """Enough labelled texts of each language: each one's held-out toxic texts are found, clean ones stay."""
+    rng = random.Random(6)
+    rows = []
+    for lang, letters in {"en": "aeionrst", "fr": "éèàuvqxz", "ru": "абвгдежз"}.items():
+        word = lambda a=letters: "".join(rng.choice(a) for _ in range(6))
+        clean, bad = [word() for _ in range(80)], [word() for _ in range(4)]
+        for k in range(300):
+            text = [rng.choice(clean) for _ in range(30)]
+            if toxic := k % 3 == 0:
+                text[3:5] = rng.sample(bad, 2)
+            rows.append((" ".join(text), int(toxic), lang))
+    rng.shuffle(rows)
+    model = toxicity.train([(t, y) for t, y, _ in rows[:600]])
+    for lang in ("en", "fr", "ru"):
+        own = [(model.score(t) >= toxicity.THRESHOLD, y) for t, y, x in rows[600:] if x == lang]
+        assert sum(p for p, y in own if y) >= 0.9 * sum(y for _, y in own) and not any(p for p, y in own if not y)
+
+
+def test_pattern_voters():
+    assert toxicity.patterns("YOU!!! ARE!!") == [1, 1, 0, 0, 0, 0]
+    assert toxicity.patterns("you f**k and s#it") == [0, 0, 0, 1, 0, 0] and toxicity.patterns("l0s3r 1d10t") == [0, 0, 0, 0, 1, 0]
+    assert toxicity.patterns("loser loser, LOSER") == [0, 0, 0, 0, 0, 1] and toxicity.patterns("") == [0] * 6
+
+
+def test_toxicity_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(k % 40, f"text {k} " + "long " * (3000 if k % 5 == 0 else 1)) for k in range(4000)] + [(None, "x"), (41, None), (42, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 2)) for k in range(43)] + [(1, 1), (None, 1), (2, None), (3, 7)], "doc_id long, toxic long")
+    drawn = toxicity.sample(docs, labels, texts={1: 15, 0: 600})
+    kinds = Counter(y for _, y in drawn)
+    assert kinds[1] == 15 and kinds[0] == 600 and any(len(t) > 9000 for t, _ in drawn)
 
 
 def test_label_model_finds_the_sure_voter():
@@ -321,6 +542,52 @@ def test_recall(spark):
     assert hits / total >= 0.9
 
 
+def brute_neighbours(rows, every, nearest):
+    asks = {}
+    for k, v in rows:
+        if k % every == 0 and (k not in asks or list(v) < list(asks[k])):
+            asks[k] = v
+    x, ids = np.array([v for _, v in rows], float), np.array([k for k, _ in rows])
+    out = {}
+    for q, v in asks.items():
+        score = (x * np.array(v, float)).sum(axis=1)
+        own = np.flatnonzero(ids != q)
+        order = own[np.lexsort((ids[own], -score[own]))][:nearest]
+        out[q] = [(int(ids[i]), float(score[i])) for i in order]
+    return out
+
+
+def test_repeated_rows_and_ids(spark):
+    """Repeated queries, ids with several vectors, repeated candidates, and an id with very many rows."""
+    rng = np.random.default_rng(8)
+    rows = [(k, rng.normal(size=6).astype(np.float32).tolist()) for k in range(60)]
+    rows += [rows[0], rows[0], (20, rows[3][1]), rows[7], rows[7], *[(40, rows[40][1])] * 400]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.search(frame, chunk_bytes=4096).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert r.rank == len(got[r.query_id])
+    want = brute_neighbours(rows, 20, 20)
+    assert got.keys() == want.keys()
+    for q in got:
+        assert [k for k, _ in got[q]] == [k for k, _ in want[q]] and np.allclose([x for _, x in got[q]], [x for _, x in want[q]], atol=1e-12)
+
+
+def test_recall_over_many_chunks(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(12_000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").where("vec_id % 20 <> 0 or vec_id < 2000")
+    out = {}
+    for r in ann.search(frame, chunk_bytes=1 << 20).collect():
+        out.setdefault(r.query_id, {})[r.vec_id] = r.score
+    kept = [(k, x[k]) for k in range(len(x)) if k % 20 or k < 2000]
+    want = brute_neighbours(kept, 20, 20)
+    assert out.keys() == want.keys()
+    hits = sum(k in out[q] for q in want for k, _ in want[q])
+    assert hits >= 0.9 * 20 * len(want)
+
+
 def test_anisotropic_loss_is_lowered():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(600, 64))  # so that the parallel weight is over one
