@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from partlake.plans import ledgers, matching, operations, planning, reports
+from partlake.plans import ledgers, matching, operations, planning, portfolio, reports
 from partlake.plans.registry import Query
 
-MODULES = [planning, ledgers, reports, operations, matching]
+MODULES = [planning, ledgers, reports, operations, matching, portfolio]
 
 
 def queries() -> dict[str, Query]:
