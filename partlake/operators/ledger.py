@@ -1,12 +1,12 @@
 """Order-dependent movement logic: netting, reversals, oldest-first allocation, document chains.
 
-Folds run over one key's events as an array sorted in the plan, or over sorted partitions that stream by key where state
-moves backwards. A key's events are one material at one plant; its allocation is sequential, so that key cannot be salted.
+Netting, last-in-first-out reversals and equal cancellation have closed forms and are windows over one sort. Allocation with
+undo is a walk over sorted partitions that stream by key; it is sequential, so its key (a material at a plant) cannot be
+salted.
 """
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -28,11 +28,22 @@ def net(moves: DataFrame) -> DataFrame:
     )
 
 
+def heights(moves: DataFrame, order: list[str]) -> DataFrame:
+    """Adds n (the place in a key's order) and height: the running net, which a reversal takes to 0 at the least.
+
+    The clamped sum has a closed form, the running sum less its least value so far (if below 0), so a key's rows stream
+    through two windows over one sort, however many they are.
+    """
+    w = Window.partitionBy(*KEY).orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    signed = F.when(F.col("reversal"), -F.col("qty")).otherwise(F.col("qty"))
+    sums = moves.withColumn("n", F.row_number().over(w)).withColumn("_sum", F.sum(signed).over(upto))
+    return sums.withColumn("height", F.col("_sum") - F.least(F.min("_sum").over(upto), F.lit(0.0))).drop("_sum")
+
+
 def clamped_net(moves: DataFrame) -> DataFrame:
     """Net quantity in date order (a day's base movements before its reversals), clamped at 0 by each reversal."""
-    events = F.sort_array(F.collect_list(F.struct("day", "reversal", "qty")))
-    fold = F.aggregate("events", F.lit(0.0), lambda t, e: F.when(e["reversal"], F.greatest(t - e["qty"], F.lit(0.0))).otherwise(t + e["qty"]))
-    return moves.groupBy(*KEY).agg(events.alias("events")).select(*KEY, fold.alias("standing"))
+    return heights(moves, ["day", "reversal", "qty"]).groupBy(*KEY).agg(F.max_by("height", "n").alias("standing"))
 
 
 def walk_keys(rows: DataFrame, key: list[str], order: list[str], columns: list[str], walk: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
@@ -68,30 +79,17 @@ def kinds_of(rows: DataFrame, columns: list[str]) -> str:
 def standing_events(moves: DataFrame, as_of: str | None = None) -> DataFrame:
     """Each base movement with what later reversals left of it: a reversal takes from the latest still standing.
 
-    A stack walks each key's events; ties on a day go base first, then by document, line and quantity.
+    A movement lies between the heights before and after it; of that stretch stands what no later height falls below. Ties
+    on a day go base first, then by document, line and quantity.
     """
     usable = moves.where(F.col("day").isNotNull())
     if as_of:
         usable = usable.where(F.col("day") <= F.lit(as_of).cast("date"))
-
-    def walk(rows: list[tuple]) -> list[tuple]:
-        left, stack = [r[-1] for r in rows], []
-        for k, row in enumerate(rows):
-            if not row[3]:
-                stack.append(k)
-                continue
-            take = left[k]
-            while take > 0 and stack:
-                part = min(take, left[stack[-1]])
-                left[stack[-1]] -= part
-                take -= part
-                if left[stack[-1]] <= 0:
-                    stack.pop()
-        return [(*row[:3], *row[4:], x) for row, x in zip(rows, left) if not row[3]]
-
-    schema = kinds_of(moves, [*KEY, "day", "doc", "line", "qty"]) + ", standing double"
-    order = ["day", "reversal", "doc", "line", "qty"]
-    return walk_keys(usable, KEY, order, order, walk, schema)
+    placed = heights(usable, ["day", "reversal", "doc", "line", "qty"])
+    # backwards, so that the least later height is a running one too
+    later = F.min("height").over(Window.partitionBy(*KEY).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0))
+    left = F.greatest(F.lit(0.0), F.least(F.col("qty"), F.col("later") - (F.col("height") - F.col("qty"))))
+    return placed.withColumn("later", later).where(~F.col("reversal")).select(*KEY, "day", "doc", "line", "qty", left.alias("standing"))
 
 
 def standing_by_month(standing: DataFrame) -> DataFrame:
@@ -122,25 +120,17 @@ def movement_metrics(moves: DataFrame, stock: DataFrame, as_of: str, months: int
     )
 
 
-def cancel_equal(moves: DataFrame) -> DataFrame:
-    """Issues that no reversal of the same key and quantity cancels; each cancels the earliest not yet cancelled.
+def cancel_equal(moves: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """Issues that no reversal of the same key, quantity and ``also`` columns cancels (unknown ones equal each other).
 
-    Numbering issues and reversals of one quantity pairs the k-th reversal with the k-th issue before it, as long as each
-    reversal has an open issue; those without one cancel nothing.
+    Each reversal cancels the earliest issue not yet cancelled, whatever its day; one without an issue left cancels nothing.
+    So of a group as many of the first issues go as it has reversals. Only issues above 0 are returned.
     """
-
-    def walk(rows: list[tuple]) -> list[tuple]:
-        waiting: deque[int] = deque()
-        gone = set()
-        for k, row in enumerate(rows):
-            if not row[4]:
-                waiting.append(k)
-            elif waiting:
-                gone.add(waiting.popleft())
-        return [(*row[:2], row[3], row[2]) for k, row in enumerate(rows) if not row[4] and k not in gone]
-
-    order = ["day", "reversal", "doc", "line"]
-    return walk_keys(moves.where(F.col("day").isNotNull()), [*KEY, "qty"], order, order, walk, kinds_of(moves, [*KEY, "day", "qty"]))
+    group = Window.partitionBy(*KEY, "qty", *also).orderBy(F.desc("reversal"), "day", "doc", "line")
+    upto = group.rowsBetween(Window.unboundedPreceding, 0)
+    undone = F.sum(F.col("reversal").cast("long")).over(upto)  # reversals stand first: at an issue, all of them
+    placed = moves.where(F.col("day").isNotNull()).withColumn("_n", F.row_number().over(group)).withColumn("_undone", undone)
+    return placed.where(~F.col("reversal") & (F.col("_n") > 2 * F.col("_undone")) & (F.col("qty") > 0)).select(*KEY, "day", "qty")
 
 
 def oldest_first(receipts: DataFrame, issues: DataFrame) -> DataFrame:

@@ -69,8 +69,15 @@ def attest(lines: DataFrame, attestations: DataFrame, days: int) -> DataFrame:
         right = attestations.where(c(key).isNotNull()).select(key, "att", "day")
         return lines.where(c(key).isNotNull()).select("line", key).join(right, key).groupBy("line").agg(pick(rule).alias(rule))
 
-    near = lines.select("line", "part", "raised").join(attestations.select("part", "att", "day"), "part").where(c("raised").isNull() | (F.abs(F.datediff("day", "raised")) <= days))
-    near = near.groupBy("line").agg(pick("WINDOW").alias("WINDOW"))
+    # one attestation for each part and day, one question for each part and raised day, met in buckets as wide as the window
+    daily = attestations.where(c("part").isNotNull() & c("day").isNotNull()).groupBy("part", "day").agg(F.max("att").alias("att"))
+    bucket = lambda day: F.floor(F.unix_date(day) / max(days, 1))
+    asked = lines.where(c("raised").isNotNull()).select("part", "raised").distinct().withColumn("_b", F.explode(F.array(*[bucket(c("raised")) + k for k in (-1, 0, 1)])))
+    met = asked.join(daily.withColumn("_b", bucket(c("day"))), ["part", "_b"]).where(F.abs(F.datediff("day", "raised")) <= days)
+    dated = met.groupBy("part", "raised").agg(pick("WINDOW").alias("WINDOW"))
+    newest = daily.groupBy("part").agg(pick("WINDOW").alias("WINDOW"))
+    near = lines.where(c("raised").isNotNull()).join(dated, ["part", "raised"]).unionByName(lines.where(c("raised").isNull()).join(newest, "part").select(*lines.columns, "WINDOW"))
+    near = near.select("line", "WINDOW")
     out = lines.select("line").join(by("session", "SESSION"), "line", "left").join(by("doc", "DOCUMENT"), "line", "left").join(near, "line", "left")
     best = F.coalesce("SESSION", "DOCUMENT", "WINDOW")
     return out.select("line", best["att"].alias("att"), F.coalesce(best["rule"], F.lit("NONE")).alias("rule"))

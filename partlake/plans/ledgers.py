@@ -28,13 +28,18 @@ def clamped_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.clamped_net(moves(spark, sf_dir))
 
 
-@queries.add()
+STANDING = """o AS (SELECT *, row_number() OVER w AS n, sum(CASE WHEN reversal THEN -qty ELSE qty END) OVER (PARTITION BY material, plant ORDER BY day, reversal, doc, line, qty ROWS UNBOUNDED PRECEDING) AS s FROM moves WHERE day IS NOT NULL {until} WINDOW w AS (PARTITION BY material, plant ORDER BY day, reversal, doc, line, qty)),
+  h AS (SELECT *, s - least(min(s) OVER (PARTITION BY material, plant ORDER BY n ROWS UNBOUNDED PRECEDING), 0) AS height FROM o),
+  standing AS (SELECT * FROM (SELECT material, plant, day, doc, line, qty, reversal, greatest(0, least(qty, min(height) OVER (PARTITION BY material, plant ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - (height - qty)))::DOUBLE AS standing FROM h) WHERE NOT reversal)"""
+
+
+@queries.add(f"WITH {MOVES}, {STANDING.format(until='')} SELECT material, plant, day, doc, line, qty, standing FROM standing")
 def standing_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each issue with what later reversals left of it; a stack, tested against plain Python."""
+    """Each issue with what later reversals left of it; tested against a stack in plain Python too."""
     return ledger.standing_events(moves(spark, sf_dir))
 
 
-@queries.add()
+@queries.add(f"WITH {MOVES}, {STANDING.format(until='')} SELECT material, plant, date_trunc('month', day)::DATE AS month, sum(standing) AS quantity FROM standing GROUP BY ALL")
 def standing_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.standing_by_month(ledger.standing_events(moves(spark, sf_dir)))
 
@@ -43,14 +48,20 @@ def stock_on_hand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moves(spark, sf_dir).groupBy(*KEY).agg((F.max("qty") - F.min("qty")).alias("stock"))
 
 
-@queries.add()
+@queries.add(f"""WITH {MOVES}, {STANDING.format(until=f"AND day <= DATE '{AS_OF}'")}, l AS (SELECT material, plant, max(day) AS last_movement_date, max(qty) - min(qty) AS stock FROM moves GROUP BY ALL),
+  i AS (SELECT material, plant, max(day) AS last_issue_date, count(*) FILTER (day >= DATE '{AS_OF}' - INTERVAL 12 MONTH) AS events, coalesce(sum(standing) FILTER (day >= DATE '{AS_OF}' - INTERVAL 12 MONTH), 0) AS consumed FROM standing WHERE standing > 0 GROUP BY ALL)
+  SELECT material, plant, last_movement_date, last_issue_date, coalesce(events, 0) AS events, coalesce(consumed, 0) AS consumed, round(coalesce(consumed, 0) / nullif(stock, 0), 6) AS turns, CASE WHEN stock = 0 THEN 'INSUFFICIENT_HISTORY' END AS turns_reason,
+  CASE WHEN DATE '{AS_OF}' - last_issue_date <= 90 THEN 'FAST' WHEN DATE '{AS_OF}' - last_issue_date <= 365 THEN 'SLOW' ELSE 'NON_MOVING' END AS band FROM l LEFT JOIN i USING (material, plant)""")
 def movement_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ledger.movement_metrics(moves(spark, sf_dir), stock_on_hand(spark, sf_dir), AS_OF))
 
 
-@queries.add()
+@queries.add(f"""WITH {MOVES}, r AS (SELECT *, CASE WHEN line % 3 > 0 THEN doc % 2 END AS reservation FROM moves), n AS (SELECT material, plant, qty, reservation, count(*) AS undone FROM r WHERE reversal GROUP BY ALL),
+  k AS (SELECT *, row_number() OVER (PARTITION BY material, plant, qty, reservation ORDER BY day, doc, line) AS k FROM r WHERE NOT reversal)
+  SELECT k.material, k.plant, k.day, k.qty FROM k LEFT JOIN n ON n.material = k.material AND n.plant = k.plant AND n.qty = k.qty AND n.reservation IS NOT DISTINCT FROM k.reservation WHERE k > coalesce(undone, 0) AND k.qty > 0""")
 def uncancelled_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.cancel_equal(moves(spark, sf_dir))
+    reservation = F.when(F.col("line") % 3 > 0, F.col("doc") % 2)
+    return ledger.cancel_equal(moves(spark, sf_dir).withColumn("reservation", reservation), ("reservation",))
 
 
 @queries.add(f"""WITH {MOVES}, r AS (SELECT *, sum(qty) OVER (PARTITION BY material, plant ORDER BY day, doc, line, qty ROWS UNBOUNDED PRECEDING) AS upto FROM moves WHERE NOT reversal),

@@ -34,15 +34,15 @@ def criticality_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.with_fallback(part.select(c("p_partkey").alias("material")), ["material"], "tier", [("REPORT", first), ("FALLBACK", second)])
 
 
-PLANS = """plans AS (SELECT o_orderkey AS plan, o_custkey % 50 AS part, o_orderkey % 500 AS a, o_orderkey % 700 AS b FROM orders WHERE o_orderkey % 4 = 0), items AS (SELECT o_orderkey AS item, o_custkey % 50 AS part, o_orderkey % 600 AS link FROM orders WHERE o_orderkey % 4 = 1),
+PLANS = """plans AS (SELECT o_orderkey AS plan, o_orderkey // 200 AS part, o_orderkey % 60 AS a, o_orderkey % 70 AS b FROM orders WHERE o_orderkey % 2 = 0), items AS (SELECT o_orderkey AS item, o_orderkey // 200 AS part, o_orderkey % 55 AS link FROM orders WHERE o_orderkey % 2 = 1),
   hits AS (SELECT DISTINCT plan, item FROM (SELECT plan, part, a AS link FROM plans UNION ALL SELECT plan, part, b FROM plans) p JOIN items USING (part, link)), claimed AS (SELECT item, min(plan) AS plan FROM hits GROUP BY 1)"""
 
 
 @queries.add(f"WITH {PLANS} SELECT p.plan, count(c.item) AS items, CASE WHEN count(c.item) > 0 THEN 'MATCHED' ELSE 'UNMATCHED' END AS outcome FROM plans p LEFT JOIN claimed c USING (plan) GROUP BY 1")
 def plan_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, k = read_table(spark, sf_dir, "orders"), c("o_orderkey")
-    plans = orders.where(k % 4 == 0).select(k.alias("plan"), (c("o_custkey") % 50).alias("part"), F.array(k % 500, k % 700).alias("links"))
-    items = orders.where(k % 4 == 1).select(k.alias("item"), (c("o_custkey") % 50).alias("part"), (k % 600).alias("link"))
+    plans = orders.where(k % 2 == 0).select(k.alias("plan"), F.floor(k / 200).alias("part"), F.array(k % 60, k % 70).alias("links"))
+    items = orders.where(k % 2 == 1).select(k.alias("item"), F.floor(k / 200).alias("part"), (k % 55).alias("link"))
     return matching.claim(plans, items, "plan", "item", ["part"])
 
 

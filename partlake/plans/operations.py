@@ -53,16 +53,16 @@ def request_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.classify_requests(requests, lines)
 
 
-@queries.add("""WITH l AS (SELECT o_orderkey AS line, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey % 40 END AS session, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 97 END AS doc, o_custkey % 20 AS part, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderdate::DATE END AS raised FROM orders WHERE o_orderkey % 2 = 0),
-  a AS (SELECT o_orderkey AS att, o_orderkey % 61 AS session, o_orderkey % 113 AS doc, o_custkey % 20 AS part, o_orderdate::DATE AS day FROM orders WHERE o_orderkey % 50 = 1),
+@queries.add("""WITH l AS (SELECT o_orderkey AS line, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey // 8 END AS session, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey // 6 END AS doc, o_custkey AS part, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderdate::DATE END AS raised FROM orders WHERE o_orderkey % 2 = 0),
+  a AS (SELECT o_orderkey AS att, CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey // 8 END AS session, CASE WHEN o_orderkey % 11 = 0 THEN o_orderkey // 6 END AS doc, o_custkey AS part, o_orderdate::DATE AS day FROM orders WHERE o_orderkey % 2 = 1),
   s AS (SELECT line, max({'day': day, 'att': att}) AS b FROM l JOIN a USING (session) GROUP BY 1), d AS (SELECT line, max({'day': day, 'att': att}) AS b FROM l JOIN a USING (doc) GROUP BY 1),
   w AS (SELECT line, max({'day': day, 'att': att}) AS b FROM l JOIN a USING (part) WHERE raised IS NULL OR abs(day - raised) <= 60 GROUP BY 1)
   SELECT line, coalesce(s.b.att, d.b.att, w.b.att) AS att, CASE WHEN s.b IS NOT NULL THEN 'SESSION' WHEN d.b IS NOT NULL THEN 'DOCUMENT' WHEN w.b IS NOT NULL THEN 'WINDOW' ELSE 'NONE' END AS rule FROM l LEFT JOIN s USING (line) LEFT JOIN d USING (line) LEFT JOIN w USING (line)""")
 def attestation_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, day = c("o_orderkey"), c("o_orderdate").cast("date")
     orders = read_table(spark, sf_dir, "orders")
-    lines = orders.where(k % 2 == 0).select(k.alias("line"), F.when(k % 5 == 0, k % 40).alias("session"), F.when(k % 3 == 0, k % 97).alias("doc"), (c("o_custkey") % 20).alias("part"), F.when(k % 4 != 0, day).alias("raised"))
-    given = orders.where(k % 50 == 1).select(k.alias("att"), (k % 61).alias("session"), (k % 113).alias("doc"), (c("o_custkey") % 20).alias("part"), day.alias("day"))
+    lines = orders.where(k % 2 == 0).select(k.alias("line"), F.when(k % 5 == 0, F.floor(k / 8)).alias("session"), F.when(k % 3 == 0, F.floor(k / 6)).alias("doc"), c("o_custkey").alias("part"), F.when(k % 4 != 0, day).alias("raised"))
+    given = orders.where(k % 2 == 1).select(k.alias("att"), F.when(k % 7 == 0, F.floor(k / 8)).alias("session"), F.when(k % 11 == 0, F.floor(k / 6)).alias("doc"), c("o_custkey").alias("part"), day.alias("day"))
     return status.attest(lines, given, 60)
 
 

@@ -140,17 +140,32 @@ def backtest_ses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics(ses_paths(spark, sf_dir)), 3, 1e-7)
 
 
-@queries.add()
+CHAMPIONS = PATHS.replace("paths AS (", "ses_paths AS (") + """, ev AS (SELECT material, plant, origin, t, actuals, list_filter(t, lambda x: x > 0) AS sizes, list_filter(range(1, len(t) + 1), lambda i: t[i] > 0) AS spots FROM origins),
+  ev2 AS (SELECT *, list_transform(range(1, len(spots) + 1), lambda i: (spots[i] - CASE WHEN i > 1 THEN spots[i - 1] ELSE 0 END)::DOUBLE) AS gaps FROM ev WHERE len(sizes) >= 2),
+  sruns AS (SELECT *, list_reduce(sizes, lambda s, x: a * x + (1 - a) * s) AS z, list_reduce(gaps, lambda s, x: a * x + (1 - a) * s) AS p FROM ev2, (SELECT unnest([0.05, 0.10, 0.15, 0.20]::DOUBLE[]) AS a)),
+  sbest AS (SELECT material, plant, origin, any_value(actuals) AS actuals, min({'error': round(abs((1 - a / 2) * z / p - list_sum(t) / len(t)), 9), 'alpha': a, 'rate': (1 - a / 2) * z / p}) AS b FROM sruns GROUP BY material, plant, origin),
+  paths AS (SELECT * FROM ses_paths UNION ALL SELECT material, plant, 'SBA', origin, b.rate, unnest(actuals) FROM sbest)""" + METRICS.removeprefix(PATHS)
+
+
+@queries.add(f"""WITH {CHAMPIONS}, both_ AS (SELECT b.material, b.plant, b.pinball AS b_pinball, b.bias AS b_bias, b.origins AS b_origins, c.pinball AS c_pinball, c.bias AS c_bias, c.origins AS c_origins,
+  (b.pinball - c.pinball) / nullif(b.pinball, 0) AS improvement, abs(c.bias) - abs(b.bias) AS bias_change FROM metrics b LEFT JOIN metrics c ON c.material = b.material AND c.plant = b.plant AND c.model = 'SES' WHERE b.model = 'SBA')
+  SELECT material, plant, b_origins, c_origins, round(b_pinball + 1e-7, 3) AS b_pinball, round(c_pinball + 1e-7, 3) AS c_pinball, round(b_bias + 1e-7, 3) AS b_bias, round(c_bias + 1e-7, 3) AS c_bias, round(improvement + 1e-7, 3) AS improvement, round(bias_change + 1e-7, 3) AS bias_change,
+  CASE WHEN improvement IS NULL THEN 'NOT_EVALUABLE' WHEN c_origins < {demand.REQUIRED_ORIGINS} THEN 'NOT_ELIGIBLE_INSUFFICIENT_ORIGINS' WHEN improvement <= {demand.MIN_IMPROVEMENT} THEN 'BASELINE_RETAINED' WHEN bias_change > {demand.MAX_BIAS_CHANGE} THEN 'BASELINE_RETAINED' ELSE 'CHALLENGER_ELIGIBLE' END AS status FROM both_""")
 def champion_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SBA against SES by rolling origins. A fold over events at each origin; tested against plain Python."""
+    """SBA against SES by rolling origins. A fold over events at each origin; tested against plain Python too."""
     origins = demand.rolling_origins(keyed(spark, sf_dir), HORIZON)
     paths = demand.forecast_paths(demand.sba(origins), "SBA").unionByName(demand.forecast_paths(demand.ses(origins), "SES"))
-    return rounded(demand.decide(metrics(paths), "SBA", "SES"))
+    return rounded(demand.decide(metrics(paths), "SBA", "SES"), 3, 1e-7)
 
 
-@queries.add()
+@queries.add(f"""WITH RECURSIVE {MOVES}, n AS (SELECT date_trunc('month', day)::DATE AS month, count(*) AS volume FROM moves GROUP BY 1), v AS (SELECT s.month, coalesce(volume, 0) AS volume, row_number() OVER (ORDER BY s.month) AS k
+    FROM (SELECT unnest(generate_series((SELECT min(month) FROM n), (SELECT max(month) FROM n), INTERVAL 1 MONTH))::DATE AS month) s LEFT JOIN n USING (month)),
+  f AS (SELECT 0::BIGINT AS k, NULL::DATE AS month, 0::BIGINT AS volume, false AS complete, NULL::DOUBLE AS reference, []::BIGINT[] AS held UNION ALL
+    SELECT k, month, volume, complete, CASE WHEN volume > 0 THEN usual END, CASE WHEN complete THEN list_append(held, volume) ELSE held END FROM (SELECT *, volume > 0 AND (usual IS NULL OR volume / usual >= 0.25) AS complete
+      FROM (SELECT v.k, v.month, v.volume, f.held, CASE WHEN len(f.held) >= 3 THEN list_aggregate(f.held[-6:], 'median')::DOUBLE END AS usual FROM f JOIN v ON v.k = f.k + 1)))
+  SELECT month, volume, complete, reference FROM f WHERE k > 0""")
 def month_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A verdict depends on earlier ones; tested against a plain fold."""
+    """A verdict depends on earlier ones; tested against a plain fold too."""
     return demand.month_completeness(moves(spark, sf_dir))
 
 
