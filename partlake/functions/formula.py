@@ -1,6 +1,6 @@
 """A small safe formula language for KPIs: one parsed tree, read as a Column, as SQL, as a value, as text.
 
-Numbers, allowed names, + - * /, unary minus, one comparison, and/or/not, min/max/abs. Division by zero is unknown, and
+Numbers, allowed names, + - * / (also × and ÷), a sign, one comparison (also ≤ and ≥), and/or/not, min/max/abs. Division by zero is unknown, and
 so is min or max with an unknown argument; and/or are three-valued.
 """
 
@@ -21,6 +21,9 @@ ARITHMETIC = {ast.Add: "+", ast.Sub: "-", ast.Mult: "*", ast.Div: "/"}
 COMPARISON = {ast.Lt: "<", ast.LtE: "<=", ast.Gt: ">", ast.GtE: ">=", ast.Eq: "=", ast.NotEq: "<>"}
 DO = {"+": operator.add, "-": operator.sub, "*": operator.mul, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "=": operator.eq, "<>": operator.ne}
 CALLS = {"min": 2, "max": 2, "abs": 1}
+#: Signs that people write, and what they stand for; the largest constant.
+WRITTEN = {"×": "*", "÷": "/", "≤": "<=", "≥": ">="}
+MOST_CONSTANT = 1e12
 
 
 class FormulaError(ValueError):
@@ -46,10 +49,14 @@ def parse(source: str, allowed: set[str], expect: str = "number") -> Node:
     """The checked tree of a formula; ``expect`` is number or condition."""
     if len(source) > MOST_CHARACTERS:
         raise FormulaError(f"more than {MOST_CHARACTERS} characters")
+    for sign, plain in WRITTEN.items():
+        source = source.replace(sign, plain)
     try:
         tree = ast.parse(source.strip(), mode="eval").body
     except SyntaxError as error:
         raise FormulaError(f"not a formula: {error.msg}") from None
+    except (ValueError, RecursionError, MemoryError):  # a NUL character; brackets nested too deeply
+        raise FormulaError("not a formula") from None
     if sum(not isinstance(n, (ast.operator, ast.unaryop, ast.cmpop, ast.boolop, ast.expr_context)) for n in ast.walk(tree)) > MOST_NODES:
         raise FormulaError(f"more than {MOST_NODES} parts")
 
@@ -67,6 +74,8 @@ def parse(source: str, allowed: set[str], expect: str = "number") -> Node:
 
     def read(n: ast.AST) -> Node:
         if isinstance(n, ast.Constant) and type(n.value) in (int, float):
+            if not n.value <= MOST_CONSTANT:
+                raise FormulaError(f"a number is above {MOST_CONSTANT:g}")
             return Node("number", (n.value,))
         if isinstance(n, ast.Name):
             if n.id not in allowed:
@@ -76,6 +85,8 @@ def parse(source: str, allowed: set[str], expect: str = "number") -> Node:
             return Node(ARITHMETIC[type(n.op)], (number(n.left), number(n.right)))
         if isinstance(n, ast.UnaryOp) and isinstance(n.op, ast.USub):
             return Node("neg", (number(n.operand),))
+        if isinstance(n, ast.UnaryOp) and isinstance(n.op, ast.UAdd):
+            return number(n.operand)
         if isinstance(n, ast.UnaryOp) and isinstance(n.op, ast.Not):
             return Node("not", (condition(n.operand),))
         if isinstance(n, ast.Compare) and len(n.ops) == 1 and type(n.ops[0]) in COMPARISON:
@@ -83,8 +94,7 @@ def parse(source: str, allowed: set[str], expect: str = "number") -> Node:
         if isinstance(n, ast.BoolOp):
             return Node("and" if isinstance(n.op, ast.And) else "or", tuple(condition(v) for v in n.values))
         if isinstance(n, ast.Call) and isinstance(n.func, ast.Name) and n.func.id in CALLS and not n.keywords:
-            least = CALLS[n.func.id]
-            if len(n.args) < least or (least == 1 and len(n.args) > 1):
+            if len(n.args) != CALLS[n.func.id]:
                 raise FormulaError(f"wrong number of arguments for {n.func.id}")
             return Node(n.func.id, tuple(number(a) for a in n.args))
         raise FormulaError(f"{type(n).__name__} is not allowed")

@@ -6,9 +6,11 @@ callers give a finer ``block`` where one is known.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +52,17 @@ def log_price(a: Column, b: Column, spread: float) -> Column:
     return F.when((a > 0) & (b > 0), numeric(F.log(a), F.log(b), spread))
 
 
+def business(maker_a: Column, maker_b: Column, price_a: Column, price_b: Column, spread: float) -> Column:
+    """Mean of same manufacturer and log-price proximity, of what is known."""
+    return mean_known(categorical(maker_a, maker_b), log_price(price_a, price_b, spread))
+
+
+def text_dimension(cosine_score: Column, fuzzy_score: Column) -> Column:
+    """0.6 of the embeddings' cosine and 0.4 of the token ratios; the one that is known where the other is not."""
+    both = EMBEDDING_SHARE * cosine_score + (1 - EMBEDDING_SHARE) * fuzzy_score
+    return F.coalesce(both, cosine_score, fuzzy_score)
+
+
 def combine(scores: dict[str, Column], weights: dict[str, float] | None = None) -> Column:
     """Weighted mean over the dimensions that are known, weights renormalised."""
     w = weights or WEIGHTS
@@ -133,33 +146,58 @@ def neighbours(targets: DataFrame, donors: DataFrame, score: Column, k: int = TO
     return admitted.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def cosine_top(vectors: DataFrame, partition: str, id_column: str, vector: str, every: int, k: int) -> DataFrame:
+#: Bytes of vectors that are multiplied at once, and targets in a block.
+SLICE_BYTES = 16 << 20
+TARGET_BLOCK = 1024
+
+
+def cosine_top(vectors: DataFrame, partition: str, id_column: str, vector: str, every: int, k: int, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """The k nearest by cosine within a partition for each target (id divisible by ``every``), as blocks of matrix products.
 
-    Targets of a partition are broadcast in blocks of at most 1024 to slices of its donors, so that a large partition
-    spreads over tasks; each task keeps k for each target before the final window.
+    A partition's donors are dealt to as many slices as their bytes need, so a large one spreads over tasks; its targets go
+    to each of its slices. Rows come sorted by slice, donors first: a task holds one slice while its targets stream past,
+    and keeps k of them for each target. Vectors of a partition have one length.
     """
     base = vectors.select(F.col(partition).alias("p"), F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL AND p IS NOT NULL")
-    slices = base.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(8)).cast("int"))
-    targets = base.where(F.col("id") % every == 0).select("p", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("s"), F.col("id"), F.col("v"))
-
-    def best(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(left) and len(right):
-            donors = np.array(right["v"].tolist())
-            ids, norms = right["id"].to_numpy(), np.linalg.norm(donors, axis=1)
-            for at in range(0, len(left), 1024):
-                block = left.iloc[at : at + 1024]
-                q = np.array(block["v"].tolist())
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    scores = np.round(np.clip(q @ donors.T / np.outer(np.linalg.norm(q, axis=1), norms), 0, 1), 6)
-                for own, row in zip(block["id"], scores):
-                    fine = np.flatnonzero((ids != own) & ~np.isnan(row))
-                    order = fine[np.lexsort((ids[fine], -row[fine]))[:k]]
-                    out += [(own, int(ids[j]), float(row[j])) for j in order]
-        return pd.DataFrame(out, columns=["t_id", "d_id", "score"])
-
-    found = targets.groupBy("p", "s").cogroup(slices.groupBy("p", "s")).applyInPandas(best, "t_id long, d_id long, score double")
+    sizes = base.groupBy("p").agg(F.greatest(F.ceil(F.sum(F.size("v") * 8) / slice_bytes), F.lit(1)).cast("int").alias("slices"))
+    dealt = base.join(sizes, "p")
+    donors = dealt.select("p", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("s"), F.lit(False).alias("asks"), "id", "v")
+    targets = dealt.where(F.col("id") % every == 0).select("p", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("s"), F.lit(True).alias("asks"), "id", "v")
+
+    def matrix(column: pa.Array) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+    def best(held: list[tuple], ids: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+        own, donors = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+        norms, out = np.linalg.norm(donors, axis=1), []
+        for at in range(0, len(ids), TARGET_BLOCK):
+            block = q[at : at + TARGET_BLOCK]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                scores = np.round(np.clip(block @ donors.T / np.outer(np.linalg.norm(block, axis=1), norms), 0, 1), 6)
+            for target, row in zip(ids[at : at + TARGET_BLOCK], scores):
+                fine = np.flatnonzero((own != target) & ~np.isnan(row))
+                order = fine[np.lexsort((own[fine], -row[fine]))[:k]]
+                out.append((np.full(len(order), target), own[order], row[order]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["t_id", "d_id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for batch in batches:
+            slots = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            asks, ids, v = batch.column(2).to_pylist(), batch.column(3).to_numpy(zero_copy_only=False), batch.column(4)
+            edges = [0, *(i for i in range(1, len(slots)) if slots[i] != slots[i - 1] or asks[i] != asks[i - 1]), len(slots)]
+            for a, z in zip(edges, edges[1:]):
+                if a == z:
+                    continue
+                if slots[a] != now:
+                    held, now = [], slots[a]
+                if not asks[a]:
+                    held.append((ids[a:z], matrix(v.slice(a, z - a))))
+                elif held:
+                    yield best(held, ids[a:z], matrix(v.slice(a, z - a)))
+
+    met = donors.unionByName(targets).repartition("p", "s").sortWithinPartitions("p", "s", "asks")
+    found = met.mapInArrow(run, "t_id long, d_id long, score double")
     rank = F.row_number().over(Window.partitionBy("t_id").orderBy(F.desc("score"), "d_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -61,7 +61,9 @@ def test_formula_readers_agree(spark):
         assert con.execute(f"SELECT {formula.to_sql(node, {k: 'NULL' if v is None else str(v) for k, v in here.items()})}").fetchone()[0] == x
     assert formula.evaluate(formula.parse("a > 1 or b > 1", {"a", "b"}, "condition"), {"a": None, "b": 2}) is True
     assert formula.to_text(node, {"a": "use"}).startswith("((max(use / b, -c) * 2)")
-    for bad in ("a.b", "__import__('x')", "a <", "a < b < c", "d + 1", "a and b", "[a]", "a ** 2", "a" * 301, "a > 1"):
+    assert formula.parse("+a × 2 ÷ b", {"a", "b"}) == formula.parse("a * 2 / b", {"a", "b"})
+    assert formula.parse("a ≤ b and b ≥ 1", {"a", "b"}, "condition") == formula.parse("a <= b and b >= 1", {"a", "b"}, "condition")
+    for bad in ("a.b", "__import__('x')", "a <", "a < b < c", "d + 1", "a and b", "[a]", "a ** 2", "a" * 301, "a > 1", "min(a, b, c)", "a + 9e13", "a\0"):
         with pytest.raises(formula.FormulaError):
             formula.parse(bad, {"a", "b", "c"})
 
