@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from partlake.plans import ledgers, matching, operations, planning, portfolio, recommend, reports
+from partlake.plans import ledgers, matching, operations, planning, portfolio, recommend, reports, rules
 from partlake.plans.registry import Query
 
-MODULES = [planning, ledgers, reports, operations, matching, portfolio, recommend]
+MODULES = [planning, ledgers, reports, operations, matching, portfolio, recommend, rules]
 
 
 def queries() -> dict[str, Query]:

@@ -182,3 +182,63 @@ def test_empty_tables(spark):
     assert portfolio.on_hand(none).collect() == []
     priced = spark.createDataFrame([], "material long, plant int, kind string, price double")
     assert recommend.new_item_price(priced).collect() == []
+
+
+def test_arima_finds_the_order_that_made_a_series():
+    from partlake.operators import challengers
+
+    rng = np.random.default_rng(3)
+    hits = 0
+    for _ in range(10):
+        x = np.zeros(400)
+        for k in range(1, 400):
+            x[k] = 5 + 0.8 * (x[k - 1] - 5) + rng.normal()
+        found = [(challengers.fit_order(x, o, 1), o) for o in challengers.ORDERS]
+        best = min((f[0], o) for f, o in found if f)
+        hits += best[1][0] >= 1
+        # one step of an AR(1) is its least-squares line
+        a, b = np.linalg.lstsq(np.column_stack([np.ones(399), x[:-1]]), x[1:], rcond=None)[0]
+        assert abs(challengers.fit_order(x, (1, 0, 0), 1)[1] - (a + b * x[-1])) < 1e-9
+    assert hits >= 9
+    flat = challengers.fit_order(np.full(24, 4.0), (0, 0, 0), 3)
+    assert abs(flat[1] - 4) < 1e-9 and challengers.fit_order(np.ones(4), (0, 1, 2), 3) is None
+
+
+def test_pooled_model_learns_a_quantile():
+    from partlake.operators import challengers
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 3))
+    y = np.where(x[:, 0] > 0, 10.0, 2.0) + rng.exponential(size=3000)
+    model = challengers.boost(x[:2000], y[:2000], 0.9, rounds=80)
+    p = model.predict(x[2000:])
+    assert 0.85 < (y[2000:] <= p).mean() < 0.95
+    pinball = lambda f: np.where(y[2000:] > f, 0.9 * (y[2000:] - f), 0.1 * (f - y[2000:])).mean()
+    assert pinball(p) < 0.6 * pinball(np.full(1000, np.quantile(y[:2000], 0.9)))
+
+
+def test_challengers_cover_every_series(spark):
+    from partlake.plans import rules as rule_plans
+
+    series = plans.keyed(spark, SMALL).count()
+    out = rule_plans.forecast_arima(spark, SMALL).collect()
+    assert len(out) == series and all(r.rate is None or r.rate >= 0 for r in out) and sum(r.status == "SUCCESS" for r in out) > 0.9 * series
+    pooled = rule_plans.forecast_pooled(spark, SMALL).collect()
+    assert len(pooled) == series and all(r.predicted >= 0 for r in pooled)
+    assert sum(r.actual <= r.predicted for r in pooled) > 0.8 * series
+
+
+def test_rules_are_versioned_and_checked(spark):
+    from partlake.functions.formula import FormulaError
+    from partlake.operators import rules
+
+    none = spark.createDataFrame([], "version long, author string, edits string")
+    with pytest.raises(FormulaError):
+        rules.save(none, {"at_risk": "colour > 1"}, "me")
+    with pytest.raises(FormulaError):
+        rules.parsed({"avg_daily_use": "stock_needed * 2"})  # a stage cannot use a later one
+    once = rules.save(none, {"at_risk": "stock_on_hand < 5"}, "me")
+    twice = rules.save(rules.save(once, {"at_risk": "stock_on_hand < 5"}, "you"), {}, "you")
+    assert [(r.version, r.author) for r in twice.orderBy("version").collect()] == [(1, "me"), (2, "you")]
+    assert rules.facts_of(rules.active(once), "at_risk") == {"stock_on_hand"}
+    assert rules.facts_of(rules.active(twice), "at_risk") == {"stock_on_hand", "usage_in_window", "window_days", "lead_time_days"}

@@ -86,3 +86,60 @@ def test_changed_only(spark, tmp_path):
         assert sorted(r.k for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["a", "b", "b"]
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_store_round_trips(spark, tmp_path):
+    from partlake.sources import store
+
+    path = str(tmp_path / "a" / "x.bin")
+    store.write_bytes(spark, path, b"one")
+    store.write_bytes(spark, path, b"\x00two")
+    assert store.read_bytes(spark, path) == b"\x00two" and [n for _, n in store.list_files(spark, str(tmp_path / "a"))] == [4]
+    assert store.list_files(spark, str(tmp_path / "none")) == []
+    table = str(tmp_path / "t")
+    store.replace_table(spark.range(3), table)
+    store.replace_table(spark.range(5), table)
+    assert spark.read.parquet(table).count() == 5 and sorted(p.name for p in tmp_path.iterdir() if p.is_dir()) == ["a", "t"]
+
+
+def test_exported_workbooks_read_back(spark, tmp_path):
+    from partlake.sources import files, store
+
+    one = spark.createDataFrame([(1, "a & b", None), (2, "<c>", 2.5)], "k int, t string, x double")
+    path = str(tmp_path / "report.xlsx")
+    assert store.export_workbook({"First": one, "Second": one.select("t")}, path) > 0
+    data = store.read_bytes(spark, path)
+    assert files.workbook_rows(data, "First") == [["k", "t", "x"], ["1", "a & b"], ["2", "<c>", "2.5"]]
+    assert files.workbook_rows(data, "Second")[2] == ["<c>"]
+    assert [store.letters(k) for k in (1, 26, 27, 703)] == ["A", "Z", "AA", "AAA"]
+    with pytest.raises(ValueError):
+        store.export_workbook({"First": one}, path, most_rows=1)
+
+
+def test_ordered_scan_finds_a_service_out():
+    from partlake.sources import store
+    from partlake.sources.paged import PagingError
+
+    rows = [{"k": k} for k in range(10)]
+    page = lambda skip, top, keys: sorted(rows, key=lambda r: r["k"])[skip : skip + top]
+    assert [r["k"] for p in store.ordered_scan(page, ["k"], 4, 10) for r in p] == list(range(10))
+    with pytest.raises(PagingError):
+        list(store.ordered_scan(page, ["k"], 4, 11))
+    shuffled = lambda skip, top, keys: (rows if skip == 0 else rows[::-1])[skip : skip + top]
+    with pytest.raises(PagingError):
+        list(store.ordered_scan(shuffled, ["k"], 4))
+
+    def picky(keys):
+        if len(keys) > 2:
+            raise PagingError("too long")
+
+    assert store.negotiate_order(picky, ["a", "b", "c"]) == ["a", "b"]
+
+
+def test_seeded_plans(spark, tmp_path):
+    from partlake.sources import store
+
+    (tmp_path / "plans.csv").write_text("plan,qty,day\n1,2.5,2024-01-01\n1,3,2024-01-02\n,4,2024-01-01\n2,many,2024-01-01\n3,,2024-02-01\n")
+    kept, rejected = store.seeded_plans(spark, str(tmp_path / "plans.csv"), "plan long, qty double, day date", ["plan"])
+    assert sorted((r.plan, r.qty) for r in kept.collect()) == [(1, 3.0), (3, None)]
+    assert sorted(r.reject_reason for r in rejected.collect()) == ["MISSING_KEY", "NOT_OF_ITS_TYPE"]
