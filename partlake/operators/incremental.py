@@ -123,6 +123,22 @@ def chunk_requests(chunks: DataFrame, quiet: str, size: int) -> DataFrame:
     return out.select("request", F.col("w.start").alias("started"), "chunks", "rows", F.when(bounded, "BOUNDED").otherwise("INCOMPLETE").alias("verdict"))
 
 
+def requested_chunks(asked: DataFrame, chunks: DataFrame, quiet: str, size: int, first: str) -> DataFrame:
+    """A verdict on each request: TIMED_OUT without a chunk within ``first`` of asking, EXACT where the expected rows came,
+    BOUNDED where none were told but a last short chunk shows the end, else INCOMPLETE.
+
+    ``asked``: request, asked_at, expected (null: not told); ``chunks``: request, ts, rows. Of a request's bursts the first after
+    asking counts; chunks before it belong to an earlier request.
+    """
+    own = chunks.join(asked.select("request", "asked_at"), "request").where(F.col("ts") >= F.col("asked_at")).select("request", "ts", "rows")
+    bursts = chunk_requests(own, quiet, size)
+    burst = bursts.groupBy("request").agg(F.min_by(F.struct("started", "chunks", "rows", "verdict"), "started").alias("b"))
+    late = F.col("b.started").isNull() | (F.col("b.started") > F.col("asked_at") + F.expr(f"interval {first}"))
+    told = F.when(F.col("b.rows") == F.col("expected"), "EXACT").otherwise("INCOMPLETE")
+    verdict = F.when(late, "TIMED_OUT").when(F.col("expected").isNotNull(), told).otherwise(F.col("b.verdict"))
+    return asked.join(burst, "request", "left").select("request", F.coalesce("b.rows", F.lit(0)).alias("rows"), F.coalesce("b.chunks", F.lit(0)).alias("chunks"), verdict.alias("verdict"))
+
+
 def open_row_keys(rows: DataFrame, key: list[str], is_open: Column, day: Column, before: Column) -> DataFrame:
     """Keys of rows that are still open and older than the window, to be read again."""
     return rows.where(is_open & (day < before)).select(*key).distinct()

@@ -6,7 +6,7 @@ callers give a finer ``block`` where one is known.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -202,6 +202,24 @@ def cosine_top(vectors: DataFrame, partition: str, id_column: str, vector: str,
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def ensure_embeddings(texts: DataFrame, store: DataFrame, embed: Callable[[list[str]], np.ndarray], text: str = "text") -> DataFrame:
+    """The store (text, embedding) with a vector for every different normalised text that it lacked.
+
+    ``embed`` gets a batch of texts and gives a row of floats for each; it runs once for a text, where the batch is. Null and
+    blank texts have no vector. Look a text up by its normalised form.
+    """
+    fresh = texts.select(F.nullif(normalise_description(F.col(text)), F.lit("")).alias("text")).where("text IS NOT NULL").distinct().join(store.select("text"), "text", "left_anti")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own = batch.column(0)
+                vectors = np.asarray(embed(own.to_pylist()), np.float32)
+                yield pa.RecordBatch.from_arrays([own, pa.array(list(vectors), pa.list_(pa.float32()))], names=["text", "embedding"])
+
+    return store.select("text", "embedding").unionByName(fresh.mapInArrow(run, "text string, embedding array<float>"))
+
+
 def weighted_median(pairs: Column) -> Column:
     """Of (value, weight) structs: the value at which the running weight passes half, the midpoint at an exact half."""
     positive = F.array_sort(F.filter(pairs, lambda p: (p["weight"] > 0) & p["value"].isNotNull()))

@@ -242,3 +242,23 @@ def test_rules_are_versioned_and_checked(spark):
     assert [(r.version, r.author) for r in twice.orderBy("version").collect()] == [(1, "me"), (2, "you")]
     assert rules.facts_of(rules.active(once), "at_risk") == {"stock_on_hand"}
     assert rules.facts_of(rules.active(twice), "at_risk") == {"stock_on_hand", "usage_in_window", "window_days", "lead_time_days"}
+
+
+def test_embeddings_are_made_once_for_a_text(spark):
+    texts = spark.createDataFrame([("Pump  seal",), ("PUMP SEAL",), ("bolt",), (None,), (" - ",)], "text string")
+    store = spark.createDataFrame([("BOLT", [9.0])], "text string, embedding array<float>")
+    out = similarity.ensure_embeddings(texts, store, lambda batch: np.array([[float(len(t))] for t in batch])).collect()
+    assert sorted((r.text, r.embedding) for r in out) == [("BOLT", [9.0]), ("PUMP SEAL", [9.0])]
+
+
+def test_requested_chunks(spark):
+    from datetime import datetime
+
+    from partlake.operators import incremental
+
+    at = lambda h, m: datetime(2024, 1, 1, h, m)
+    asked = spark.createDataFrame([(1, at(1, 0), 25), (2, at(1, 0), 25), (3, at(1, 0), None), (4, at(1, 0), 5), (5, at(1, 0), 5), (6, at(1, 0), None)], "request int, asked_at timestamp, expected long")
+    rows = [(1, at(1, 1), 10), (1, at(1, 2), 10), (1, at(1, 3), 5), (1, at(0, 50), 7), (2, at(1, 1), 10), (3, at(1, 1), 10), (3, at(1, 2), 4), (4, at(2, 0), 5), (6, at(1, 1), 10)]
+    chunks = spark.createDataFrame(rows, "request int, ts timestamp, rows long")
+    out = {r.request: (r.rows, r.verdict) for r in incremental.requested_chunks(asked, chunks, "10 minutes", 10, "15 minutes").collect()}
+    assert out == {1: (25, "EXACT"), 2: (10, "INCOMPLETE"), 3: (14, "BOUNDED"), 4: (5, "TIMED_OUT"), 5: (0, "TIMED_OUT"), 6: (10, "INCOMPLETE")}
