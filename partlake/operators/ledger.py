@@ -266,3 +266,69 @@ def open_quantity(orders: DataFrame) -> DataFrame:
     return orders.where(~F.col("closed")).groupBy(*KEY).agg(F.sum(due).alias("open_quantity"), F.count(F.lit(1)).alias("open_lines"))
 
 
+def chain_diagnostics(orders: DataFrame, requests: DataFrame) -> DataFrame:
+    """One row: requests, those without, with one and with many orders, and orders' requests that are unknown. ``orders``: po, pr;
+    ``requests``: pr."""
+    n = orders.where("pr IS NOT NULL").groupBy("pr").agg(F.countDistinct("po").alias("orders"))
+    both = requests.select("pr", F.lit(1).alias("known")).join(n, "pr", "full")
+    known = F.col("known").isNotNull()
+    return both.agg(
+        F.count("known").alias("requests"),
+        F.count_if(known & F.col("orders").isNull()).alias("without_order"),
+        F.count_if(known & (F.col("orders") == 1)).alias("with_one"),
+        F.count_if(known & (F.col("orders") > 1)).alias("with_many"),
+        F.count_if(~known).alias("unknown_requests"),
+    )
+
+
+def line_movements(moves: DataFrame, key: str, out: str, back: str, undo: str) -> DataFrame:
+    """Movements of each order in one pass: first and last dispatch and quantity (kind ``out``), received (``back`` less ``undo``).
+
+    ``moves``: key, kind, day, qty.
+    """
+    kind, q, zero = F.col("kind"), F.col("qty"), F.lit(0.0)
+    return moves.groupBy(key).agg(
+        F.count(F.lit(1)).alias("movements"),
+        F.min(F.when(kind == out, F.col("day"))).alias("first_dispatch"),
+        F.max(F.when(kind == out, F.col("day"))).alias("last_dispatch"),
+        F.coalesce(F.sum(F.when(kind == out, q)), zero).alias("dispatched"),
+        F.coalesce(F.sum(F.when(kind == back, q).when(kind == undo, -q)), zero).alias("received"),
+    )
+
+
+def received_not_issued(orders: DataFrame, receipts: DataFrame, issues: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
+    """Lines of each material that came in by a day and whose request nothing was issued for; the oldest decides the flag.
+
+    ``orders``: po, item, pr, material; ``receipts``: po, item, day; ``issues``: pr.
+    """
+    got = receipts.groupBy("po", "item").agg(F.min("day").alias("first_receipt"))
+    waiting = orders.join(got, ["po", "item"]).join(issues.select("pr").distinct(), "pr", "left_anti")
+    waiting = waiting.withColumn("days", F.datediff(as_of, F.col("first_receipt"))).where("days >= 0")
+    return waiting.groupBy("material").agg(F.count(F.lit(1)).alias("lines"), F.max("days").alias("oldest_days"), (F.max("days") > days).alias("flagged"))
+
+
+def plan_exceptions(lines: DataFrame) -> DataFrame:
+    """plan_breach (ordered above plan; unknown without one) and acquired against plan. ``lines``: qty, received, plan."""
+    acquired = F.when(F.col("plan").isNull(), "NO_PLAN").when(F.col("received") > F.col("plan"), "ABOVE_PLAN").when(F.col("received") < F.col("plan"), "BELOW_PLAN").otherwise("AS_PLANNED")
+    return lines.withColumn("plan_breach", F.col("qty") > F.col("plan")).withColumn("acquired", acquired)
+
+
+def reclassify(rows: DataFrame, indicators: dict[str, Column]) -> DataFrame:
+    """reasons (indicators that hold, joined by +) and verdict: a candidate if any does, unknown if none does and one is unknown."""
+    held = F.array_compact(F.array(*[F.when(test, name) for name, test in indicators.items()]))
+    unsure = F.lit(False)
+    for test in indicators.values():
+        unsure = unsure | test.isNull()
+    verdict = F.when(F.size(held) > 0, "CANDIDATE").when(unsure, "UNKNOWN").otherwise("NO")
+    return rows.withColumn("reasons", F.array_join(held, "+")).withColumn("verdict", verdict)
+
+
+def attribute_owner(rows: DataFrame, candidates: DataFrame, key: str, owner: str) -> DataFrame:
+    """The owner of each key if it has one candidate: candidates, owner and status NONE, ATTRIBUTED or AMBIGUOUS.
+
+    A count and a least say whether there is one; no set of them is kept.
+    """
+    found = candidates.groupBy(key).agg(F.countDistinct(owner).cast("int").alias("_n"), F.min(owner).alias("_one"))
+    n = F.coalesce("_n", F.lit(0))
+    status = F.when(n == 0, "NONE").when(n == 1, "ATTRIBUTED").otherwise("AMBIGUOUS")
+    return rows.join(found, key, "left").select(*rows.columns, n.alias("candidates"), F.when(n == 1, F.col("_one")).alias("owner"), status.alias("status"))

@@ -119,16 +119,7 @@ def fan_out_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
   (SELECT count(*) FROM n WHERE pr NOT IN (SELECT pr FROM requests)) AS unknown_requests FROM requests LEFT JOIN n USING (pr)""")
 def chain_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents_of(spark, sf_dir)
-    n = d["orders"].where("pr IS NOT NULL").groupBy("pr").agg(F.countDistinct("po").alias("orders"))
-    both = d["requests"].select("pr", F.lit(1).alias("known")).join(n, "pr", "full")
-    known = F.col("known").isNotNull()
-    return both.agg(
-        F.count("known").alias("requests"),
-        F.count_if(known & F.col("orders").isNull()).alias("without_order"),
-        F.count_if(known & (F.col("orders") == 1)).alias("with_one"),
-        F.count_if(known & (F.col("orders") > 1)).alias("with_many"),
-        F.count_if(~known).alias("unknown_requests"),
-    )
+    return ledger.chain_diagnostics(d["orders"], d["requests"])
 
 
 @queries.add("""WITH b AS (SELECT l_partkey AS part, l_orderkey * 8 + l_linenumber AS left_id, CAST(l_shipdate AS DATE) AS left_day, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_shipdate, l_suppkey, l_quantity, l_extendedprice) AS k FROM lineitem WHERE l_returnflag = 'R'),
@@ -175,26 +166,16 @@ def order_aging(spark: SparkSession, sf_dir: str) -> DataFrame:
 @queries.add("""SELECT l_orderkey AS po, count(*) AS movements, min(CAST(l_shipdate AS DATE)) FILTER (l_returnflag = 'N') AS first_dispatch, max(CAST(l_shipdate AS DATE)) FILTER (l_returnflag = 'N') AS last_dispatch,
   coalesce(sum(l_quantity) FILTER (l_returnflag = 'N'), 0) AS dispatched, coalesce(sum(CASE l_returnflag WHEN 'A' THEN l_quantity WHEN 'R' THEN -l_quantity END), 0) AS received FROM lineitem GROUP BY ALL""")
 def conditional_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind, q, day = F.col("l_returnflag"), F.col("l_quantity"), F.col("l_shipdate").cast("date")
-    zero = F.lit(0.0)
-    return read_table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("po")).agg(
-        F.count(F.lit(1)).alias("movements"),
-        F.min(F.when(kind == "N", day)).alias("first_dispatch"),
-        F.max(F.when(kind == "N", day)).alias("last_dispatch"),
-        F.coalesce(F.sum(F.when(kind == "N", q)), zero).alias("dispatched"),
-        F.coalesce(F.sum(F.when(kind == "A", q).when(kind == "R", -q)), zero).alias("received"),
-    )
+    lines = read_table(spark, sf_dir, "lineitem")
+    rows = lines.select(F.col("l_orderkey").alias("po"), F.col("l_returnflag").alias("kind"), F.col("l_shipdate").cast("date").alias("day"), F.col("l_quantity").alias("qty"))
+    return ledger.line_movements(rows, "po", "N", "A", "R")
 
 
 @queries.add(f"""WITH {LINES}, w AS (SELECT o.material, o.po, o.item, r.first_receipt, DATE '{AS_OF}' - r.first_receipt AS days, coalesce(i.issued, 0) AS issued FROM orders_ o JOIN receipts r ON r.po = o.po AND r.item = o.item LEFT JOIN issues i ON i.pr = o.pr)
   SELECT material, count(*) AS lines, max(days)::INTEGER AS oldest_days, max(days) > 30 AS flagged FROM w WHERE issued = 0 AND days >= 0 GROUP BY ALL""")
 def received_not_issued(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents_of(spark, sf_dir)
-    got = d["receipts"].groupBy("po", "item").agg(F.min("day").alias("first_receipt"))
-    used = d["issues"].select("pr").distinct()
-    days = F.datediff(day_of(AS_OF), F.col("first_receipt"))
-    waiting = d["orders"].join(got, ["po", "item"]).join(used, "pr", "left_anti").withColumn("days", days).where("days >= 0")
-    return waiting.groupBy("material").agg(F.count(F.lit(1)).alias("lines"), F.max("days").alias("oldest_days"), (F.max("days") > 30).alias("flagged"))
+    return ledger.received_not_issued(d["orders"], d["receipts"], d["issues"], day_of(AS_OF))
 
 
 @queries.add(f"""WITH {LINES}, w AS (SELECT o.po, o.item, o.qty, coalesce(r.received, 0) AS received, CASE WHEN o.po % 4 = 0 THEN o.qty * 0.8 END AS plan FROM orders_ o LEFT JOIN receipts r ON r.po = o.po AND r.item = o.item)
@@ -203,9 +184,8 @@ def plan_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents_of(spark, sf_dir)
     got = d["receipts"].groupBy("po", "item").agg(F.sum("qty").alias("received"))
     plan = F.when(F.col("po") % 4 == 0, F.col("qty") * 0.8)
-    w = d["orders"].join(got, ["po", "item"], "left").withColumn("plan", plan).withColumn("received", F.coalesce("received", F.lit(0.0)))
-    acquired = F.when(F.col("plan").isNull(), "NO_PLAN").when(F.col("received") > F.col("plan"), "ABOVE_PLAN").when(F.col("received") < F.col("plan"), "BELOW_PLAN").otherwise("AS_PLANNED")
-    return w.select("po", "item", (F.col("qty") > F.col("plan")).alias("plan_breach"), acquired.alias("acquired"))
+    lines = d["orders"].join(got, ["po", "item"], "left").withColumn("plan", plan).withColumn("received", F.coalesce("received", F.lit(0.0)))
+    return ledger.plan_exceptions(lines).select("po", "item", "plan_breach", "acquired")
 
 
 @queries.add("""WITH i AS (SELECT p_partkey AS material, p_size > 40 AS dear, CASE WHEN p_size % 5 <> 0 THEN p_retailprice > 1200 END AS critical, p_size % 7 = 0 AS moved FROM part),
@@ -213,18 +193,13 @@ def plan_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT material, array_to_string(reasons, '+') AS reasons, CASE WHEN len(reasons) > 0 THEN 'CANDIDATE' WHEN critical IS NULL THEN 'UNKNOWN' ELSE 'NO' END AS verdict FROM t""")
 def reclassification(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size")
-    critical = F.when(size % 5 != 0, F.col("p_retailprice") > 1200)
-    reasons = F.array_compact(F.array(F.when(size > 40, "DEAR"), F.when(critical, "CRITICAL"), F.when(size % 7 == 0, "MOVED")))
-    verdict = F.when(F.size(reasons) > 0, "CANDIDATE").when(critical.isNull(), "UNKNOWN").otherwise("NO")
-    return read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("material"), F.array_join(reasons, "+").alias("reasons"), verdict.alias("verdict"))
+    tests = {"DEAR": size > 40, "CRITICAL": F.when(size % 5 != 0, F.col("p_retailprice") > 1200), "MOVED": size % 7 == 0}
+    return ledger.reclassify(read_table(spark, sf_dir, "part"), tests).select(F.col("p_partkey").alias("material"), "reasons", "verdict")
 
 
 @queries.add("""WITH c AS (SELECT l_partkey AS material, list(DISTINCT l_suppkey) AS owners FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL)
   SELECT p_partkey AS material, coalesce(len(owners), 0)::INTEGER AS candidates, CASE WHEN len(owners) = 1 THEN owners[1] END AS owner, CASE WHEN owners IS NULL THEN 'NONE' WHEN len(owners) = 1 THEN 'ATTRIBUTED' ELSE 'AMBIGUOUS' END AS status FROM part LEFT JOIN c ON material = p_partkey""")
 def ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read_table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
-    # two extremes say whether there is one candidate; no set of them is kept
-    c = lines.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.countDistinct("l_suppkey").cast("int").alias("n"), F.min("l_suppkey").alias("one"))
-    n = F.coalesce("n", F.lit(0))
-    status = F.when(n == 0, "NONE").when(n == 1, "ATTRIBUTED").otherwise("AMBIGUOUS")
-    return read_table(spark, sf_dir, "part").join(c, "p_partkey", "left").select(F.col("p_partkey").alias("material"), n.alias("candidates"), F.when(n == 1, F.col("one")).alias("owner"), status.alias("status"))
+    lines = read_table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("material"), "l_suppkey")
+    parts = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("material"))
+    return ledger.attribute_owner(parts, lines, "material", "l_suppkey")
