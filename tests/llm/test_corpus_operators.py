@@ -674,13 +674,25 @@ def test_near_duplicate_stage_links_similarity_080(spark, seed):
     assert kept == plain_near_duplicates(rows)
 
 
-def test_pairs_across_components_of_a_band(spark):
+@pytest.mark.parametrize("at_once, bits", [(4096, 24), (16, 24), (16, 9)])
+def test_pairs_across_components_of_a_band(spark, at_once, bits):
+    """Members of one crowded band, in one block or many, with a roomy or a full table of shared shingles: no pair is lost."""
     rows = planted_copies(3)
     found = shingles.signatures(spark.createDataFrame(rows, "doc_id long, text string"), id_column="doc_id", text_column="text", shingle=5)
     nodes = {r.node: r for r in found.collect() if r.n}
     sets = {r.node: set(shingles.shingle_set(rows[r.id][1]).tolist()) for r in nodes.values()}
-    members = [(k, r.n, k, r.sketch) for k, r in nodes.items()]  # one band that all share, nothing linked yet
-    group = spark.createDataFrame([(members,)], "all array<struct<node:bigint,n:bigint,root:bigint,sketch:binary>>")
-    got = {(r.a, r.b) for r in shingles.across(group, 80).collect()}
+    signed = lambda x: [y - (1 << 64) if y >> 63 else y for y in sorted(x)]
+    frame = spark.createDataFrame([(k, signed(v)) for k, v in sets.items()], "node long, hashes array<long>")
+    shares = {r.node: r.s for r in shingles.shared_counts(frame, bits).collect()}
+    for k, own in sets.items():
+        exact = sum(any(h in other for j, other in sets.items() if j != k) for h in own)
+        assert exact <= shares[k] <= len(own) and (bits < 24 or shares[k] == exact)
+    drawn = {r.node: r.sketch for r in shingles.sketches(frame).collect()}
+    blocks = -(-len(nodes) // at_once)
+    member = [(k, r.n, shares[k], k, drawn[k], i % blocks) for i, (k, r) in enumerate(nodes.items())]  # nothing linked yet
+    met = [(i, j, [m for m in member if m[5] in (i, j)]) for i in range(blocks) for j in range(i, blocks)]
+    group = spark.createDataFrame(met, "one int, other int, all array<struct<node:bigint,n:bigint,s:bigint,root:bigint,sketch:binary,block:int>>")
+    listed = [(r.a, r.b) for r in shingles.across(group, 80).collect()]
+    got = set(listed)
     similar = {(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
-    assert similar and similar <= got and all(a < b for a, b in got)
+    assert similar and similar <= got and all(a < b for a, b in got) and len(listed) == len(got)
