@@ -689,9 +689,9 @@ def test_pairs_across_components_of_a_band(spark, at_once, bits):
         assert exact <= shares[k] <= len(own) and (bits < 24 or shares[k] == exact)
     drawn = {r.node: r.sketch for r in shingles.sketches(frame).collect()}
     blocks = -(-len(nodes) // at_once)
-    member = [(k, r.n, shares[k], k, drawn[k], i % blocks) for i, (k, r) in enumerate(nodes.items())]  # nothing linked yet
-    met = [(i, j, [m for m in member if m[5] in (i, j)]) for i in range(blocks) for j in range(i, blocks)]
-    group = spark.createDataFrame(met, "one int, other int, all array<struct<node:bigint,n:bigint,s:bigint,root:bigint,sketch:binary,block:int>>")
+    member = [(k, r.n, shares[k], k, drawn[k], i % blocks, [5, 7, 9]) for i, (k, r) in enumerate(nodes.items())]  # nothing linked yet
+    met = [(key, i, j, [m for m in member if m[5] in (i, j)]) for key in (5, 7) for i in range(blocks) for j in range(i, blocks)]  # each pair counts once
+    group = spark.createDataFrame(met, "key long, one int, other int, all array<struct<node:bigint,n:bigint,s:bigint,root:bigint,sketch:binary,block:int,keys:array<bigint>>>")
     listed = [(r.a, r.b) for r in shingles.across(group, 80).collect()]
     got = set(listed)
     similar = {(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
