@@ -191,6 +191,29 @@ def test_bootstrap_blocks_change_no_draw(spark):
     assert similarity.bootstrap_interval(rows, "k", "v", draws=50_000).first().estimate == plain
 
 
+def test_bootstrap_draws_once_for_keys_of_one_size(spark):
+    import time
+
+    n = F.col("id") % 20
+    rows = spark.range(20_000 * 20).select(F.floor(F.col("id") / 20).alias("k"), (n * 3 + F.floor(F.col("id") / 20) % 7).cast("double").alias("v"))
+    start = time.time()
+    got = similarity.bootstrap_interval(rows, "k", "v", draws=20_000).agg(F.count("estimate"), F.countDistinct("estimate")).first()
+    assert tuple(got) == (20_000, 7)
+    assert time.time() - start < 15  # 5 s; drawn for each key it took 28 s
+
+
+def test_bootstrap_of_odd_values(spark):
+    values = {1: [0.1, 0.2, 0.7], 2: [5.0], 3: [float(k % 91) for k in range(5000)], 4: [1.0, float("inf")], 5: [-2.5, 0.1, 1e9], None: [3.0, 4.0, None]}
+    rows = spark.createDataFrame([(k, v) for k, own in values.items() for v in own], "k int, v double")
+    got = {r.k: r for r in similarity.bootstrap_interval(rows, "k", "v", draws=1000).collect()}
+    assert set(got) == set(values)
+    for k, own in values.items():
+        x, rng = np.sort([v for v in own if v is not None]), np.random.default_rng(42)
+        with np.errstate(invalid="ignore"):
+            want = np.percentile([x[rng.integers(0, len(x), len(x))].mean() for _ in range(1000)], 85)
+        assert got[k].n == len(x) and np.isclose(got[k].estimate, want, rtol=1e-12, equal_nan=True)
+
+
 def test_merge(spark):
     target = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k int, v string")
     batch = spark.createDataFrame([(2, "c"), (3, None), (4, "d"), (None, "x")], "k int, v string")
