@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from partlake.operators import demand, incremental, ledger, relational, similarity, stock
-from partlake.plans import planning, reports
+from partlake.plans import matching, planning, reports
 
 D = datetime.date
 MOVES = "material long, plant int, day date, reversal boolean, doc long, line int, qty double"
@@ -214,6 +214,56 @@ def test_bootstrap_of_odd_values(spark):
         assert got[k].n == len(x) and np.isclose(got[k].estimate, want, rtol=1e-12, equal_nan=True)
 
 
+def test_gower_top_is_neighbours(spark):
+    rng = random.Random(5)
+    any_of = lambda *xs: rng.choice(xs)
+    rows = [(rng.randrange(700), any_of("P", "P", "Q", None), any_of("a", "A", "b", "c", None), any_of(None, float("nan"), *map(float, range(12))), any_of(None, 0.0, -1.0, *(k + 0.5 for k in range(1, 9)))) for _ in range(900)]
+    df = spark.createDataFrame(rows, "id int, partition string, type string, size double, price double")  # ids repeat, with other values too
+    side = lambda p, x: x.select(*[F.col(c).alias(f"{p}_{c}") for c in x.columns])
+    t, d = side("t", df.where("id % 3 = 0")), side("d", df)
+    col = F.col
+    structured = similarity.mean_known(similarity.categorical(col("t_type"), col("d_type")), similarity.numeric(col("t_size"), col("d_size"), 9.0))
+    score = similarity.combine({"structured": structured, "business": similarity.log_price(col("t_price"), col("d_price"), 0.8)})
+    for floor, slice_rows in ((0.6, 1 << 15), (0.0, 100)):
+        want = similarity.neighbours(t, d, score, 4, floor).select("t_id", "d_id", "score", "rank").collect()
+        got = similarity.gower_top(t, d, 9.0, 0.8, 4, floor, ("d_size",), slice_rows).collect()
+        assert sorted((r.t_id, r["rank"], r.d_id, r.score) for r in got) == sorted((r.t_id, r["rank"], r.d_id, r.score) for r in want) and want
+        assert {(r.d_id, repr(r.d_size)) for r in got} <= {(r[0], repr(r[3])) for r in rows}
+    assert similarity.gower_top(t, d.limit(0), 9.0, 0.8).count() == similarity.gower_top(t.limit(0), d, 9.0, 0.8).count() == 0
+
+
+@pytest.fixture(scope="module")
+def one_brand(spark, tmp_path_factory):
+    """60,000 parts of one brand and type: 180 million pairs of a target with a donor."""
+    k, path = F.col("id"), str(tmp_path_factory.mktemp("brand"))
+    part = spark.range(60_000).select(k.alias("p_partkey"), F.lit("B").alias("p_brand"), F.lit("T").alias("p_type"), (k * 7 % 50).cast("int").alias("p_size"), (900 + k * 1231 % 59_999 / 100).alias("p_retailprice"))
+    part.write.parquet(f"{path}/part.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", ["gower_neighbours"])
+def test_gower_queries_over_a_large_brand(spark, one_brand, name):
+    import time
+
+    start = time.time()
+    rows = getattr(reports if name in ("gower_neighbours", "neighbour_estimate") else matching, name)(spark, one_brand).collect()
+    assert time.time() - start < 30  # a score for each pair took minutes
+    if name in ("gower_neighbours", "exclusions_after_top"):
+        ids = np.arange(60_000)
+        size, price = ids * 7 % 50, np.log(900 + ids * 1231 % 59_999 / 100)
+        for t in (0, 20, 31_000, 59_980):
+            near = (1 - abs(size - size[t]) / 49 + 1) / 2 * 0.4 + (1 - np.minimum(abs(price - price[t]) / 0.8, 1)) * 0.2
+            near = np.where(ids == t, -1, np.round(near / 0.6, 6))
+            want = [(d, k + 1) for k, d in enumerate(np.lexsort((ids, -near))[:5].tolist()) if name == "gower_neighbours" or size[d] % 4]
+            assert sorted((r.d_id, r["rank"]) for r in rows if r.t_id == t) == sorted(want)
+    elif name == "neighbour_estimate":
+        assert len(rows) == 3000 and {r.status for r in rows} == {"SUCCESS"}
+    elif name == "precision_recall":
+        assert len(rows) == 3000 and {(r.precision, r.recall) for r in rows} == {(1.0, round(5 / 59_999, 6))}
+    else:
+        assert {tuple(r) for r in rows} == {(x, 15_000, 15_000, 3000) for x in (0.6, 0.7, 0.8, 0.9)}
+
+
 def test_merge(spark):
     target = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k int, v string")
     batch = spark.createDataFrame([(2, "c"), (3, None), (4, "d"), (None, "x")], "k int, v string")
