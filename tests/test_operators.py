@@ -241,7 +241,7 @@ def one_brand(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["exclusions_after_top", "gower_neighbours", "neighbour_estimate"])
+@pytest.mark.parametrize("name", ["exclusions_after_top", "gower_neighbours", "neighbour_estimate", "precision_recall"])
 def test_gower_queries_over_a_large_brand(spark, one_brand, name):
     import time
 
@@ -264,6 +264,16 @@ def test_gower_queries_over_a_large_brand(spark, one_brand, name):
         assert {tuple(r) for r in rows} == {(x, 15_000, 15_000, 3000) for x in (0.6, 0.7, 0.8, 0.9)}
 
 
+def test_relevance_by_class_is_that_of_all_pairs(spark):
+    rng = random.Random(6)
+    d = spark.createDataFrame([(rng.randrange(30), rng.choice([*"ab", None]), rng.choice("xyz")) for _ in range(60)], "d_id int, c string, e string")  # ids repeat
+    t, ranked = d.where("d_id % 2 = 0").withColumnRenamed("d_id", "t_id"), spark.createDataFrame([(a, b, 1 + b % 6) for a in range(0, 30, 2) for b in range(0, 30, 3)], "t_id int, d_id int, rank int")
+    pairs = t.join(d, ["c", "e"]).where("t_id <> d_id").select("t_id", "d_id")
+    got = similarity.precision_recall(ranked, similarity.same_class(ranked, t, d, ["c", "e"]), 4, similarity.class_totals(t, d, ["c", "e"]))
+    want = similarity.precision_recall(ranked, pairs, 4)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 5
+
+
 def test_merge(spark):
     target = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k int, v string")
     batch = spark.createDataFrame([(2, "c"), (3, None), (4, "d"), (None, "x")], "k int, v string")
