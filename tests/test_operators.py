@@ -241,7 +241,7 @@ def one_brand(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["exclusions_after_top", "gower_neighbours", "neighbour_estimate", "precision_recall"])
+@pytest.mark.parametrize("name", ["exclusions_after_top", "gower_neighbours", "neighbour_estimate", "precision_recall", "threshold_sweep"])
 def test_gower_queries_over_a_large_brand(spark, one_brand, name):
     import time
 
