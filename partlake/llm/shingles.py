@@ -1,9 +1,10 @@
 """Near-duplicates by the exact Jaccard similarity of texts' sets of word shingles.
 
-Candidates come from MinHash bands: two sets of similarity s agree in a band of ROWS minima with probability s^ROWS, so with
-BANDS bands a pair at 0.8 is missed once in some ten million, a closer one less often. Every candidate is then verified by
-its shingles. (Of 64 bits of a SimHash, pairs at 0.8 differ by ten on average and by up to eighteen; no key with an exact
-segment is selective at that radius.)
+Candidates come first from SimHash fingerprints of the sets, linked within four bits by the pigeonring index. Of 64 bits,
+pairs at 0.8 differ by ten on average and by up to eighteen, where no key with an exact segment is selective; so candidates
+beyond that radius come from MinHash bands: two sets of similarity s agree in a band of ROWS minima with probability s^ROWS,
+so with BANDS bands a pair at 0.8 is missed once in some ten million, a closer one less often. Every candidate is then
+verified by its shingles.
 
 Texts of equal sets are one node. Nodes of a small group under a band are compared with each other. A large group's are
 compared with one of them, the one that has the largest part in common with others; what that joins into components is not
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partlake.llm.common import map_batches
-from partlake.llm.simhash import components
+from partlake.llm.simhash import components, links, majority
 from partlake.session import cut_lineage
 
 SEED = 42
@@ -77,25 +78,39 @@ def minima(hashes: np.ndarray, count: int = BANDS * ROWS) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, *, id_column: str, text_column: str, shingle: int) -> DataFrame:
-    """id, node (a hash of the set), n (its size), keys (of its bands) of each row; no keys for an empty set."""
+    """id, node (a hash of the set), n (its size), fp (its SimHash as a signed long), keys (of its bands) of each row; no keys for
+    an empty set."""
     import xxhash
 
     kind = docs.schema[id_column].dataType.simpleString()
 
     def make(batch: pa.RecordBatch) -> dict:
-        node, size, keys = [], [], []
+        node, size, fp, keys = [], [], [], []
         for text in batch.column(1).to_pylist():
             hashes = shingle_set(text, shingle)
             low = minima(hashes)
             raw = low.tobytes()
             node.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
             size.append(len(hashes))
+            fp.append(majority(hashes))
             wide = ROWS * 8
             keys.append(np.array([xxhash.xxh64_intdigest(raw[k * wide : (k + 1) * wide], k) for k in range(BANDS if len(hashes) else 0)], np.uint64).view(np.int64))
         ids = np.array(node, np.uint64).view(np.int64)
-        return {"id": batch.column(0), "node": pa.array(ids), "n": pa.array(size, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))}
+        return {"id": batch.column(0), "node": pa.array(ids), "n": pa.array(size, pa.int64()), "fp": pa.array(np.array(fp, np.uint64).view(np.int64)), "keys": pa.array(keys, pa.list_(pa.int64()))}
 
-    return map_batches(docs.select(id_column, text_column), make, f"id {kind}, node bigint, n bigint, keys array<bigint>")
+    return map_batches(docs.select(id_column, text_column), make, f"id {kind}, node bigint, n bigint, fp bigint, keys array<bigint>")
+
+
+def ringed(rows: DataFrame, similar: int) -> DataFrame:
+    """(a, b), a < b: nodes whose fingerprints the pigeonring index links, where sizes allow the similarity. ``rows``: those of
+    ``signatures``. Of nodes of one fingerprint each meets the least, and the least stands for them towards others."""
+    own = cut_lineage(rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp")))
+    heads = cut_lineage(own.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("head")))
+    one, other = (heads.select(F.col("fp").alias(x), F.col("head").alias(f"h{x}")) for x in "ab")
+    near = links(heads.select("fp")).distinct().join(one, "a").join(other, "b").select(F.col("ha").alias("x"), F.col("hb").alias("y"))
+    equal = own.join(heads, "fp").where("node <> head.node").select(F.struct("node", "n").alias("x"), F.col("head").alias("y"))
+    x, y = F.col("x.node"), F.col("y.node")
+    return near.unionByName(equal).where(sizes_fit(F.col("x.n"), F.col("y.n"), similar)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
@@ -226,7 +241,8 @@ def edges(docs: DataFrame, rows: DataFrame, *, id_column: str, text_column: str,
     # close copies meet in most bands: a small group counts once
     small = met.where(F.col("size") <= SMALL_GROUP).groupBy("key").agg(F.array_sort(F.collect_list("member")).alias("all")).select("all").distinct()
     large = met.where(F.col("size") > SMALL_GROUP).select("key", "size", "member.node", "member.n")
-    nodes = cut_lineage(met.select("member.node").distinct())
+    ring = cut_lineage(ringed(rows, similar))
+    nodes = cut_lineage(met.select("member.node").unionByName(ring.select(F.explode(F.array("a", "b")).alias("node"))).distinct())
     wanted = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("least"))
     texts = docs.select(F.col(id_column).alias("least"), F.col(text_column).alias("text"))
 
@@ -243,7 +259,7 @@ def edges(docs: DataFrame, rows: DataFrame, *, id_column: str, text_column: str,
     sets = cut_lineage(map_batches(chosen, make, "node bigint, hashes array<bigint>").join(nodes, "node", "left_semi").dropDuplicates(["node"]))
     pair = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     close = F.flatten(F.transform("all", lambda x, i: F.transform(F.filter("all", lambda y: (y["node"] > x["node"]) & sizes_fit(x["n"], y["n"], similar)), lambda y: pair(x["node"], y["node"]))))
-    pairs = small.select(F.explode(close).alias("p")).select("p.a", "p.b")
+    pairs = ring.unionByName(small.select(F.explode(close).alias("p")).select("p.a", "p.b"))
     crowded = not large.isEmpty()
     if crowded:
         shares = shared_counts(sets.join(large.select("node").distinct(), "node", "left_semi"))

@@ -54,6 +54,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have set: the SimHash of a set; 0 if it is empty."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 65536):
+        ones += np.unpackbits(hashes[k : k + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
 def fingerprints(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE_WORDS) -> DataFrame:
     """id and fp (the fingerprint as a signed long) of each row."""
     kind = docs.schema[id_column].dataType.simpleString()

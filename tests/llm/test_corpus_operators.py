@@ -674,6 +674,24 @@ def test_near_duplicate_stage_links_similarity_080(spark, seed):
     assert kept == plain_near_duplicates(rows)
 
 
+def test_near_duplicate_stage_links_by_fingerprints(spark):
+    """With no bands at all, the pigeonring's links alone, verified by similarity, make the components of all close pairs."""
+    rows = planted_copies(4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = shingles.signatures(docs, id_column="doc_id", text_column="text", shingle=5)
+    nodes = {r.node: r for r in found.collect() if r.n}
+    sets = {r.node: shingles.shingle_set(rows[r.id][1]) for r in nodes.values()}
+    for k, r in nodes.items():
+        bits = [2 * sum(int(h) >> b & 1 for h in sets[k]) > len(sets[k]) for b in range(64)]
+        assert r.fp & (1 << 64) - 1 == sum(x << b for b, x in enumerate(bits))
+    one_by_one = found.withColumn("keys", F.array().cast("array<bigint>"))
+    links = shingles.edges(docs, one_by_one, id_column="doc_id", text_column="text", shingle=5, similar=80)
+    got = {(r.a, r.b) for r in links.collect()}
+    own = {k: set(v.tolist()) for k, v in sets.items()}
+    close = {(a, b) for a in own for b in own if a < b and ((nodes[a].fp ^ nodes[b].fp) & (1 << 64) - 1).bit_count() <= 4 and 5 * len(own[a] & own[b]) >= 4 * len(own[a] | own[b])}
+    assert got == close and len(close) > 5
+
+
 @pytest.mark.parametrize("at_once, bits", [(4096, 24), (16, 24), (16, 9)])
 def test_pairs_across_components_of_a_band(spark, at_once, bits):
     """Members of one crowded band, in one block or many, with a roomy or a full table of shared shingles: no pair is lost."""
