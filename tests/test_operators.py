@@ -264,6 +264,65 @@ def test_gower_queries_over_a_large_brand(spark, one_brand, name):
         assert {tuple(r) for r in rows} == {(x, 15_000, 15_000, 3000) for x in (0.6, 0.7, 0.8, 0.9)}
 
 
+def test_gower_donors_are_those_of_all_pairs():
+    rng = np.random.default_rng(7)
+    n, m, k = 6000, 300, 4
+    known, code, ids = rng.choice([7, 7, 7, 6, 3], n), rng.choice(4, n) ** 2, rng.integers(0, 4000, n)  # ids repeat
+    size = np.where(known & 2, rng.choice([*range(20), np.nan], n), 0.0)
+    price = np.where(known & 4, rng.integers(0, 40, n) / 25 + 6, 0.0)
+    found = similarity.GowerDonors(known, code, size, price, ids, (20.0, 0.8), k)
+    assert len(found.ids) < n  # of a hundred like ones some cannot win
+    for own in (7, 6, 3):
+        t = np.flatnonzero(known[:m] == own)
+        got = found.best(own, code[t], size[t], price[t], ids[t], 0.6)
+        place = found.order[got[1]]
+        rows = sorted(zip(ids[t][got[0]].tolist(), t[got[0]].tolist(), (-got[2]).tolist(), ids[place].tolist()))
+        want = []
+        for i in t:
+            both = own & known
+            near = [np.where(code == code[i], 1.0, 0.0), 1 - np.fmin(abs(size - size[i]) / 20, 1), 1 - np.fmin(abs(price - price[i]) / 0.8, 1)]
+            has = [(both & bit) > 0 for bit in (1, 2, 4)]
+            some = np.maximum(has[0].astype(int) + has[1], 1)
+            top = (np.where(has[0], near[0], 0) + np.where(has[1], near[1], 0)) / some * 0.4 + np.where(has[2], near[2] * 0.2, 0)
+            bottom = np.where(has[0] | has[1], 0.4, 0) + np.where(has[2], 0.2, 0)
+            score = np.where(ids == ids[i], -1, np.floor(top / bottom * 1e6 + 0.5) / 1e6)
+            order = np.lexsort((ids, -score))[:k]
+            want += [(int(ids[i]), int(i), -score[d], int(ids[d])) for d in order if score[d] >= 0.6]
+        assert rows == sorted(want) and want
+
+
+def test_gower_donors_score_few_pairs():
+    """Of 24,000 donors of six types a target is scored with some hundred; chunks of all prices took 1,300."""
+
+    class Counted(similarity.GowerDonors):
+        scored = 0
+
+        def lost(self, known, kind, size, price):
+            self.scored += kind.size
+            return super().lost(known, kind, size, price)
+
+    rng = np.random.default_rng(8)
+    n, m = 24_000, 1280
+    code, size, price, ids = rng.integers(0, 6, n), rng.integers(1, 51, n).astype(float), np.log(rng.integers(900, 2000, n)), np.arange(n)
+    found = Counted(np.full(n, 7), code, size, price, ids, (49.0, 0.8), 5)
+    for a in range(0, m, 256):
+        at = slice(a, a + 256)
+        assert len(found.best(7, code[at], size[at], price[at], ids[at], 0.6)[0]) == 256 * 5
+    assert found.scored / m - len(found.starts) < 400  # besides the bounds
+
+
+def test_exclusions_over_copies(spark, tmp_path):
+    k = F.col("id") % 1000  # 60 copies of 1000 parts
+    part = spark.range(60_000).select(F.col("id").alias("p_partkey"), F.lit("B").alias("p_brand"), F.lit("T").alias("p_type"), (k * 7 % 50).cast("int").alias("p_size"), (900 + k * 1231 % 997 / 100).alias("p_retailprice"))
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted((r.t_id, r["rank"], r.d_id) for r in matching.exclusions_after_top(spark, str(tmp_path)).collect())
+    want = []
+    for t in range(0, 60_000, 20):
+        copies = [d for d in range(t % 1000, t % 1000 + 6000, 1000) if d != t][:5]
+        want += [(t, i + 1, d) for i, d in enumerate(copies) if t % 1000 * 7 % 50 % 4]
+    assert got == want
+
+
 def test_relevance_by_class_is_that_of_all_pairs(spark):
     rng = random.Random(6)
     d = spark.createDataFrame([(rng.randrange(30), rng.choice([*"ab", None]), rng.choice("xyz")) for _ in range(60)], "d_id int, c string, e string")  # ids repeat
