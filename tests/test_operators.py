@@ -323,6 +323,18 @@ def test_exclusions_over_copies(spark, tmp_path):
     assert got == want
 
 
+def test_estimate_over_many_neighbours(spark):
+    import time
+
+    n = 2000
+    found = spark.range(20 * n).select((F.col("id") % 20).alias("t_id"), (F.col("id") * 7919 % n).alias("v"), F.lit(0.75).alias("score"))
+    start = time.time()
+    got = similarity.estimate(found, ["v"]).collect()
+    assert time.time() - start < 10  # each step summed the weights anew: minutes
+    values = {t: sorted(i * 7919 % n for i in range(t, 20 * n, 20)) for t in range(20)}
+    assert {(r.t_id, r.neighbours, r.confidence, r.v) for r in got} == {(t, n, "MEDIUM", -(-(v[n // 2 - 1] + v[n // 2]) // 2)) for t, v in values.items()}
+
+
 def test_relevance_by_class_is_that_of_all_pairs(spark):
     rng = random.Random(6)
     d = spark.createDataFrame([(rng.randrange(30), rng.choice([*"ab", None]), rng.choice("xyz")) for _ in range(60)], "d_id int, c string, e string")  # ids repeat
